@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions.kinds import analytic_type, schema_kind, suggested_chart
 from ..functions.scalars import as_double, col, finite, share
-from .measures import measure
+from ..session import local_rows
 from .distinct import approximate_distinct, exact_distinct
+from .measures import measure
 from .quantiles import SAMPLE, SMALL, exact_quantiles, values_at_positions
 
 NUMERIC_PER_SCAN = 8
@@ -203,7 +204,7 @@ def _shape_of(x: dict) -> list:
 
 def _as_profile(df: DataFrame, facts: list[dict]) -> DataFrame:
     records = [tuple(x.get(f.name) for f in _FACTS.fields) for x in facts]
-    base = df.sparkSession.createDataFrame(records, _FACTS)
+    base = local_rows(df.sparkSession, records, _FACTS)
     c = F.col
     return (
         base.withColumn("nulls", c("rows") - c("non_null"))

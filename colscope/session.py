@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
@@ -40,3 +44,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     prepare_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet into the shared checkpoint folder and read them back.
+
+    For frames that several jobs read: columns stay prunable, sizes are known to the optimizer,
+    and a lost executor costs a re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    prepare_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """Small driver-side records as a local relation, whose size the optimizer knows."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow_schema = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow_schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema), schema)
