@@ -117,9 +117,9 @@ def variation_coefficient(std: Column, mean: Column) -> Column:
 
 
 def csv_field(c: Column) -> Column:
-    """Text of one CSV cell: quoted only when it holds a comma, a quote or a line break."""
+    """Text of one CSV cell: quoted only when it holds a comma, a quote or a newline."""
     doubled = F.replace(c, F.lit('"'), F.lit('""'))
-    return F.when(c.rlike('[,"\n\r]'), F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(c)
+    return F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(c)
 
 
 def html_text(c: Column) -> Column:
