@@ -192,9 +192,13 @@ selection as materialized (
   from decided)"""
 
 
-PROFILE_OUT = """select ordinal, "column", physical_type, analytic_type, "rows", non_null, nulls,
+def mean(name: str) -> str:
+    return f"case when abs({name}) < 1 then round({name}, 8) else round({name}, 6) end {name}"
+
+
+PROFILE_OUT = f"""select ordinal, "column", physical_type, analytic_type, "rows", non_null, nulls,
   round(null_pct, 6) null_pct, "distinct", round(distinct_pct, 6) distinct_pct,
-  round(mean, 6) mean, round(q1, 6) q1, round(median, 6) median, round(q3, 6) q3,
+  {mean("mean")}, round(q1, 6) q1, round(median, 6) median, round(q3, 6) q3,
   round("min", 6) "min", round("max", 6) "max", round(std, 6) std, round(iqr, 6) iqr,
   round(skewness, 6) skewness, round(kurtosis, 6) kurtosis, zeros, negatives,
   outliers_iqr, outliers_z, chart from profile"""

@@ -277,7 +277,7 @@ def bootstrap_scenarios(summary: DataFrame) -> DataFrame:
         )
         for i, (name, p, text) in enumerate(kinds)
     ]
-    return summary.select("position", "column", F.inline(F.array(*entries))).orderBy("position", "seq").drop("seq")
+    return summary.select("position", "column", F.inline(F.array(*entries)))
 
 
 def bootstrap_risks(summary: DataFrame) -> DataFrame:

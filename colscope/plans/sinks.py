@@ -80,8 +80,7 @@ def csv_tables(result: Analysis) -> dict[str, DataFrame]:
             ("column", None), ("valid_values", None), *simulated, ("pct_above_p95", 6), ("pct_below_p5", 6),
             ("reading", None)]),
         "bootstrap_scenarios": _numbers(
-            result.simulation.scenarios.withColumn("_seq", F.monotonically_increasing_id()),
-            ["position", "estimated_mean", "_seq"], [
+            result.simulation.scenarios, ["position", "seq"], [
                 ("column", None), ("scenario", None), ("estimated_mean", 8), ("estimated_total", 8),
                 ("interpretation", None)]),
         "bootstrap_risks": _numbers(result.simulation.risks, "rank", [
