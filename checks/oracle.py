@@ -139,12 +139,13 @@ spread as materialized (
 clusters as materialized (
   select row_number() over (order by size desc, i) "rank", i cluster, size, pct, mean_distance,
     case when pct <= 3 then 'small_segment' when mean_distance >= p95 then 'dispersed' else 'stable' end reading
-  from (select c.i, c.size, c.size * 100.0::double / n pct, coalesce(avg(p.d), 0) mean_distance, any_value(p95) p95
-        from c{count} c left join placed p using (i), spread group by c.i, c.size, n)),
+  from (select c.i, c.size, c.size * 100.0::double / (select n from spread) pct,
+          coalesce(g.mean, 0) mean_distance, (select p95 from spread) p95
+        from c{count} c left join (select i, avg(d) mean from placed group by i) g on g.i = c.i)),
 odd as materialized (
   select row_number() over (order by d desc, l_orderkey) "rank", l_orderkey, i cluster, d distance, z z_score,
     case when d >= p99 or z >= 3 then 'high' else 'medium' end severity
-  from (select *, case when s > 0 then (d - m) / s else 0 end z from placed, spread)
+  from (select p.*, w.p95, w.p99, case when w.s > 0 then (d - w.m) / w.s else 0 end z from placed p cross join spread w)
   where d >= p95 or z >= 2.5::double order by 1 limit 200)"""
     )
     return ",\n".join(parts)
