@@ -98,12 +98,12 @@ def _bars(value: str, label: str, relation: str, tie: str, limit: int) -> str:
 
 # Clustering, written for any number of clusters.
 CLUSTER_NAMES = ["sum_qty", "n_lines", "avg_disc", "max_tax"]
-ZS = [f"z{j}" for j in range(len(CLUSTER_NAMES))]
+ZS = [f"z_{n}" for n in CLUSTER_NAMES]
 _Z_LIST = ", ".join(ZS)
 STANDARD = f"""moments as (select {", ".join(
     f"avg({n}::double) m{j}, stddev_pop({n}::double) s{j}" for j, n in enumerate(CLUSTER_NAMES))} from src),
 std as materialized (select l_orderkey, {", ".join(
-    f"greatest(-8.0::double, least(8.0::double, ({n}::double - m{j}) / s{j})) z{j}"
+    f"greatest(-8.0::double, least(8.0::double, ({n}::double - m{j}) / s{j})) z_{n}"
     for j, n in enumerate(CLUSTER_NAMES))} from src, moments)"""
 _GAP = " + ".join(f"(a.{z} - c.{z}) * (a.{z} - c.{z})" for z in ZS)
 
@@ -343,7 +343,7 @@ from s where "position" % step = 0""",
     "kmeans_rounds_wide": f"{CLUSTERED} select i cluster, size, {r6(*ZS)} from c3",
     "cluster_stats_wide": f'{CLUSTERED} select "rank", cluster, size, {r6("pct", "mean_distance")}, reading from clusters',
     "odd_rows_wide": f'{CLUSTERED} select "rank", l_orderkey, cluster, {r6("distance", "z_score")}, severity from odd',
-    "cluster_summary_wide": f"""{CLUSTERED} select '{"; ".join(CLUSTER_NAMES)}' features, k, s.n "rows", 3 rounds,
+    "cluster_summary_wide": f"""{CLUSTERED} select '{"; ".join(sorted(CLUSTER_NAMES))}' features, k, s.n "rows", 3 rounds,
   round(m, 6) mean_distance, round(s.s, 6) std_distance, round(p95, 6) p95_distance, round(p99, 6) p99_distance,
   (select count(*) from odd) odd_rows from spread s, sized""",
     "cluster_bars_wide": f"{CLUSTERED} " + _bars("pct", "'Cluster ' || cluster", "clusters", '"rank"', 12),

@@ -374,7 +374,8 @@ def standardize_wide(spark, sf):
     df = wide(spark, sf)
     picked = clustering.cluster_features(profiles.profile_columns(df)).orderBy("rank").collect()
     features = [(r["column"], r["finite_mean"], r["finite_std"]) for r in picked]
-    return rounded(clustering.standardize(df, features, ["l_orderkey"]))
+    scores = clustering.standardize(df, features, ["l_orderkey"])
+    return rounded(scores.toDF("l_orderkey", *[f"z_{n}" for n, _, _ in features]))
 
 
 def _clustered(spark, sf):
@@ -387,7 +388,7 @@ def _clustered(spark, sf):
 def kmeans_rounds_wide(spark, sf):
     r = _clustered(spark, sf)
     rows = [(i, n, *c) for i, (n, c) in enumerate(zip(r.sizes, r.centroids))]
-    zs = ", ".join(f"z{j} double" for j in range(len(r.features)))
+    zs = ", ".join(f"z_{n} double" for n in r.features)
     return rounded(local_rows(spark, rows, f"cluster int, size bigint, {zs}"))
 
 
@@ -411,7 +412,7 @@ def odd_rows_explained_wide(spark, sf):
 @query
 def cluster_summary_wide(spark, sf):
     s = _clustered(spark, sf).summary
-    return rounded(s.drop("conclusion").withColumn("features", F.array_join("features", "; ")))
+    return rounded(s.drop("conclusion").withColumn("features", F.array_join(F.array_sort("features"), "; ")))
 
 
 @query
