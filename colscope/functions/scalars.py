@@ -53,7 +53,8 @@ def finite(c: Column) -> Column:
 
 
 def clamp(c: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    # least and greatest skip nulls, so a missing value would come out as a bound.
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def share(part: Column, whole: Column) -> Column:

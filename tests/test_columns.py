@@ -168,6 +168,8 @@ def test_scalar_functions(spark):
     assert value(spark, S.abbreviate(F.lit("abcdef"), 4)) == "abc…"
     names = {"humidity": True, "codigo": True, "cod_x": True, "precio": False, "code": True}
     assert {n: value(spark, S.looks_like_id(F.lit(n))) for n in names} == names
+    assert value(spark, S.clamp(F.lit(None).cast("double"), 0.0, 1.0)) is None
+    assert value(spark, S.zscore(F.lit(None).cast("double"), 1.0, 2.0)) == 0.0
     assert value(spark, S.relative_range(F.lit(1.0), F.lit(0.0), F.lit(3.0))) == 2.0
     assert value(spark, S.variation_coefficient(F.lit(2.0), F.lit(0.0))) == 2.0
 
