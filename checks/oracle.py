@@ -226,6 +226,8 @@ SELECTION_OUT = """select "position", ordinal, "column", decision, round(score,
   correlated_with, repeats, risk from selection"""
 WIDE_SELECTED = f"{WIDE},\n{S.SCORED},\n{WIDE_PAIRS},\n{S.groups_with()},\n{S.selection_with()}"
 
+GAPPED = ["value_25null", "value_55null", "value_97null"]
+
 ORACLE: dict[str, str] = {
     "schema_summary_events": _schema_sql("events", V.EVENTS_COLUMNS),
     "schema_summary_sparse": f"with src as ({V.EVENTS_SPARSE_SQL}) {_schema_sql('src', V.EVENTS_SPARSE_COLUMNS)}",
@@ -340,6 +342,12 @@ select l_returnflag, l_linestatus, l_linenumber, "position", "position" // step
 from s where "position" % step = 0""",
     "cluster_features_wide": f"with {WIDE} {CLUSTER_FEATURES}",
     "standardize_wide": f"with {WIDE_SOURCE}, {STANDARD} select l_orderkey, {r6(*ZS)} from std",
+    "standardize_sparse": f"""with src as materialized ({V.EVENTS_SPARSE_SQL}),
+m as (select {", ".join(f"avg({n}) m_{n}, stddev_pop({n}) s_{n}" for n in GAPPED)} from src)
+select event_id, {", ".join(
+    f"round(case when {n} is null then 0 else greatest(-8.0::double, least(8.0::double, ({n} - m_{n}) / s_{n})) end, 6)"
+    f" + 0.0::double z_{n}" for n in GAPPED)}
+from src, m where {" + ".join(f"({n} is not null)::int" for n in GAPPED)} >= 2""",
     "kmeans_rounds_wide": f"{CLUSTERED} select i cluster, size, {r6(*ZS)} from c3",
     "cluster_stats_wide": f'{CLUSTERED} select "rank", cluster, size, {r6("pct", "mean_distance")}, reading from clusters',
     "odd_rows_wide": f'{CLUSTERED} select "rank", l_orderkey, cluster, {r6("distance", "z_score")}, severity from odd',

@@ -378,6 +378,16 @@ def standardize_wide(spark, sf):
     return rounded(scores.toDF("l_orderkey", *[f"z_{n}" for n, _, _ in features]))
 
 
+@query
+def standardize_sparse(spark, sf):
+    """Rows with gaps: a missing value counts as the mean, two finite values are needed."""
+    df = sparse(spark, sf)
+    p = profiles.profile_columns(df.select("value_25null", "value_55null", "value_97null"))
+    features = [(r["column"], r["finite_mean"], r["finite_std"]) for r in p.orderBy("ordinal").collect()]
+    scores = clustering.standardize(df, features, ["event_id"])
+    return rounded(scores.toDF("event_id", *[f"z_{n}" for n, _, _ in features]))
+
+
 def _clustered(spark, sf):
     df = wide(spark, sf)
     p = profiles.profile_columns(df)

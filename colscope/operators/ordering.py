@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import holds_map
+from ..functions.kinds import INTEGRAL_TYPES, holds_map
 from ..functions.scalars import col
 from ..session import cut_lineage
 from .quantiles import SAMPLE, SMALL, values_at_ranks
 
 
+# Types whose values compare alike in Spark, Arrow and Python.
+GROUP_TYPES = INTEGRAL_TYPES + (T.StringType, T.BooleanType, T.DateType)
+
+
 def running_index(
     df: DataFrame,
     order_by: list[str],
@@ -33,10 +37,27 @@ def running_index(
     themselves, so the order should be unique.
     """
     group = group or []
+    for n in group:
+        if not isinstance(df.schema[n].dataType, GROUP_TYPES):
+            raise ValueError(f"group by whole numbers, text, booleans or dates; cast {n!r} to one of them")
     keys = [col(n) for n in group + order_by]
     ranged = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
     carried = _carried_totals(ranged, weight, group)
 
+    # Both functions travel to the workers as they are, without needing this package there.
+    def group_changes(batch: pa.RecordBatch):
+        """Rows at which a new group starts (the first row aside), first and last group."""
+        if not group:
+            return np.array([], dtype="int64"), (), ()
+        values = [batch.column(batch.schema.get_field_index(n)) for n in group]
+        differs = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+        for v in values:
+            codes = v.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            differs |= codes[1:] != codes[:-1]
+        first = tuple(v[0].as_py() for v in values)
+        final = tuple(v[-1].as_py() for v in values)
+        return np.flatnonzero(differs) + 1, first, final
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total = carried.get(TaskContext.get().partitionId(), (None, 0))
         fresh = last is None
@@ -49,7 +70,7 @@ def running_index(
                 w = batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False)
                 w = w.astype("int64")
             before = np.cumsum(w) - w
-            changes, first, final = _group_changes(batch, group)
+            changes, first, final = group_changes(batch)
             if fresh or first != last:
                 total = 0
             fresh = False
@@ -65,20 +86,6 @@ def running_index(
     return ranged.mapInArrow(add, schema)
 
 
-def _group_changes(batch: pa.RecordBatch, group: list[str]):
-    """Rows at which a new group starts (the first row aside), first and last group."""
-    if not group:
-        return np.array([], dtype="int64"), (), ()
-    values = [batch.column(batch.schema.get_field_index(n)) for n in group]
-    differs = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
-    for v in values:
-        codes = v.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-        differs |= codes[1:] != codes[:-1]
-    first = tuple(v[0].as_py() for v in values)
-    final = tuple(v[-1].as_py() for v in values)
-    return np.flatnonzero(differs) + 1, first, final
-
-
 def _carried_totals(ranged: DataFrame, weight: str | None, group: list[str]) -> dict[int, tuple]:
     """Per partition: the group the partitions before it end in, and that group's total so far."""
     amount = F.count(F.lit(1)) if weight is None else F.sum(col(weight))

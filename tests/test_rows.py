@@ -34,6 +34,11 @@ def test_running_index_in_groups(spark):
     assert (before.values == got["start"].values).all() and len(got) == 2000
 
 
+def test_running_index_rejects_group_types_that_compare_differently(spark):
+    with pytest.raises(ValueError):
+        ordering.running_index(spark.createDataFrame([(1.0, 1)], "g double, o int"), ["o"], group=["g"])
+
+
 def test_rows_at_positions_with_ties(spark):
     rows = [(i % 3, None if i % 7 == 0 else i, f"r{i}") for i in range(90)]
     df = spark.createDataFrame(rows, "a int, b int, name string").repartition(4)
