@@ -396,3 +396,37 @@ t as (select * from g union all
 select conv_id, parts, bytes, bytes // 1024 kb, merged_bytes, merged_bytes // 1024 merged_kb from t""",
 }
 ORACLE["pearson_matrix_sparse"] = ORACLE["pearson_pairs_sparse"]
+
+_FULL = " union all ".join(f"select '{n}' c, {n}::double v from src" for n in CLUSTER_NAMES)
+ORACLE["bootstrap_full_wide"] = f"""with {WIDE}, picked as (
+  select ordinal, "column" c, outliers_iqr oi, 0.45::double * (1 - greatest(0, least(1, null_pct / 100)))
+    + 0.25::double * (greatest(0, least(10, ln(1 + abs(std)))) / 10)
+    + 0.2::double * (greatest(0, least(8, ln(1 + coalesce(outliers_iqr, 0)))) / 8)
+    + 0.1::double * (greatest(0, least(5, abs(coalesce(skewness, 0)))) / 5) score
+  from profile where "column" in ({", ".join(f"'{n}'" for n in CLUSTER_NAMES)})),
+named as materialized (select *, row_number() over (order by score desc, ordinal) place from picked),
+sorted as materialized (select c, v, row_number() over (partition by c order by v) - 1 pos from ({_FULL})),
+hist as materialized (select c, count(*) n, avg(v) hist_mean, stddev_pop(v) hist_std, min(v) hist_min,
+    quantile_cont(v, 0.05) hist_p5, quantile_cont(v, 0.5) hist_p50, quantile_cont(v, 0.95) hist_p95, max(v) hist_max
+  from sorted group by c),
+draws as materialized (
+  select h.c, id // 250 sim, ('0x' || substr(md5(h.c || '|' || id), 1, 15))::bigint % h.n pos
+  from range(5000 * 250) t(id) cross join hist h),
+drawn as materialized (select d.c, d.sim, s.v from draws d join sorted s on s.c = d.c and s.pos = d.pos),
+batches as materialized (select c, sim, avg(v) mean from drawn group by c, sim),
+sims as materialized (select c, quantile_cont(mean, 0.05) sim_mean_p5, quantile_cont(mean, 0.5) sim_mean_p50,
+    quantile_cont(mean, 0.95) sim_mean_p95 from batches group by c),
+tails as materialized (
+  select d.c, count(*) filter (where d.v > h.hist_p95) * 100.0::double / count(*) pct_above_p95,
+    count(*) filter (where d.v < h.hist_p5) * 100.0::double / count(*) pct_below_p5
+  from drawn d join hist h on h.c = d.c group by d.c),
+summary as materialized (
+  select p.place "position", p.c "column", h.n valid_values, h.* exclude (c, n), s.* exclude (c),
+    sim_mean_p5 * 250 sim_total_p5, sim_mean_p50 * 250 sim_total_p50, sim_mean_p95 * 250 sim_total_p95,
+    t.* exclude (c), abs(sim_mean_p95 - sim_mean_p5) / abs(sim_mean_p50) rr, hist_std / abs(hist_mean) cv, p.oi
+  from named p join hist h on h.c = p.c join sims s on s.c = p.c join tails t on t.c = p.c)
+select "position", "column", valid_values, {r6("hist_mean", "hist_std", "hist_min", "hist_p5", "hist_p50", "hist_p95",
+  "hist_max", "sim_mean_p5", "sim_mean_p50", "sim_mean_p95", "sim_total_p5", "sim_total_p50", "sim_total_p95",
+  "pct_above_p95", "pct_below_p5")},
+  case when rr >= 1 then 'wide' when cv >= 0.75::double then 'volatile' when coalesce(oi, 0) > 0 then 'extremes'
+       else 'stable' end reading from summary"""

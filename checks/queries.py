@@ -529,7 +529,7 @@ def summary_kpis_wide(spark, sf):
 
 @query
 def csv_profile_lineitem(spark, sf):
-    """Profile table as printed in the CSV, read back from the written file."""
+    """Profile table as it is printed in the CSV."""
     df = table(spark, sf, "lineitem")
     found = analyses.analyze(df, ["l_orderkey", "l_linenumber"], simulations=SIMULATIONS, batch=BATCH, max_rounds=ROUNDS)
     return sinks.csv_tables(found)["profile"]
