@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +77,22 @@ def in_batches(
     return df.mapInArrow(run, fields)
 
 
+def with_python_column(df: DataFrame, name: str, kind: str, step: Callable[[], Callable[[list[bytes]], list]]) -> DataFrame:
+    """``df`` and one more column, computed from the UTF-8 bytes of ``text`` (null: empty)."""
+    fields = T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(fields)
+        work = step()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [t or b"" for t in part.column(part.schema.names.index("text")).cast(pa.binary()).to_pylist()]
+                columns = [c.cast(f.type) for c, f in zip(part.columns, out)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(work(texts), type=out[-1].type)], schema=out)
+
+    return df.mapInArrow(run, fields)
+
+
 def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
     if text is None:
         yield batch
