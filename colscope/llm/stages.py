@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, toxicity
+from . import bpe, decontaminate, jaccard, lines, toxicity
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -33,3 +33,9 @@ def drop_near_copies(docs: DataFrame, rule: jaccard.Rule = jaccard.Rule(words=5,
     found = jaccard.jaccard_components(docs, rule)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents without a verified passage of a benchmark item."""
+    hits = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
+    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
