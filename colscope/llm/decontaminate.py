@@ -24,12 +24,15 @@ LEAST_SCORE = 0.5
 # The check of a hit: word runs, and the share of those of the question and of the answer.
 RUN = 5
 LEAST_OVERLAP = 0.5
-# Items of a posting block; bytes of item text in one shard and in the shards of one pass; the
-# shortest span that a shard's windows are made for.
-BLOCK = 8
-SHARD_BYTES = 4 << 20
+# Items of a posting block; the share of the least score that all weak terms together stay below;
+# bytes of item text in one shard and in the shards of one pass; the shortest span that a shard's
+# windows are made for; cells of the table of windows and blocks that a task fills at a time.
+BLOCK = 2
+WEAK_SHARE = 0.25
+SHARD_BYTES = 1 << 20
 PASS_BYTES = 16 << 20
 LEAST_SPAN = 32
+CELLS = 4 << 20
 
 WORDS = re.compile(r"\w+")
 
@@ -78,7 +81,7 @@ class Shard:
         # alone they make no hit, so they open no window.
         order = np.argsort(self.bound, kind="stable")
         total = np.cumsum(self.bound[order])
-        weak = order[: int(np.searchsorted(total, LEAST_SCORE / 2))]
+        weak = order[: int(np.searchsorted(total, LEAST_SCORE * WEAK_SHARE))]
         self.weak_total = float(self.bound[weak].sum())
         strong = np.ones(len(self.postings), dtype=bool)
         strong[weak] = False
@@ -144,26 +147,33 @@ def open_windows(shard: Shard, ids: np.ndarray, starts: np.ndarray, lengths: np.
     """
     stride = shard.span
     per_text = np.maximum(1, -(-lengths // stride) - 1)
-    first_window = np.concatenate([[0], np.cumsum(per_text)])
-    hit = np.flatnonzero(ids >= 0)
-    if not len(hit):
-        return
-    text = np.searchsorted(starts, hit, side="right") - 1
-    place = (hit - starts[text]) // stride
-    term = ids[hit]
-    count = shard.first[term + 1] - shard.first[term]
-    sums = np.zeros(int(first_window[-1]) * shard.n_blocks)
-    for back in (0, 1):
-        window = place - back
-        inside = (window >= 0) & (window < per_text[text]) & (count > 0)
-        rows, n = first_window[text[inside]] + window[inside], count[inside]
+    strong = (ids >= 0) & (shard.first[ids + 1] > shard.first[ids])
+    first_text = 0
+    while first_text < len(lengths):
+        # as many texts as fit into a table of windows and blocks of bounded size
+        ends = np.cumsum(per_text[first_text:])
+        n_texts = max(1, int(np.searchsorted(ends, CELLS // shard.n_blocks, side="right")))
+        texts = slice(first_text, first_text + n_texts)
+        first_window = np.concatenate([[0], ends[:n_texts]])
+        low, high = starts[first_text], starts[texts][-1] + lengths[texts][-1]
+        hit = low + np.flatnonzero(strong[low:high])
+        text = np.searchsorted(starts[texts], hit, side="right") - 1
+        place = (hit - starts[texts][text]) // stride
+        pairs = []
+        for window in (place, place - 1):
+            inside = (window >= 0) & (window < per_text[texts][text])
+            pairs.append((first_window[text[inside]] + window[inside]) * len(shard.bound) + ids[hit[inside]])
+        # a word counts once in a window
+        row, term = np.divmod(np.unique(np.concatenate(pairs)), len(shard.bound))
+        n = shard.first[term + 1] - shard.first[term]
         # the blocks of each term, laid side by side
-        at = np.repeat(shard.first[term[inside]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        sums += np.bincount(np.repeat(rows, n) * shard.n_blocks + shard.flat_block[at], shard.flat_best[at], len(sums))
-    best = sums.reshape(-1, shard.n_blocks).max(axis=1)
-    for w in np.flatnonzero(best + shard.weak_total >= LEAST_SCORE - 1e-9):
-        i = int(np.searchsorted(first_window, w, side="right")) - 1
-        yield i, int(w - first_window[i]) * stride
+        at = np.repeat(shard.first[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
+        sums = np.bincount(np.repeat(row, n) * shard.n_blocks + shard.flat_block[at], shard.flat_best[at], int(first_window[-1]) * shard.n_blocks)
+        best = sums.reshape(-1, shard.n_blocks).max(axis=1)
+        for w in np.flatnonzero(best + shard.weak_total >= LEAST_SCORE - 1e-9):
+            i = int(np.searchsorted(first_window, w, side="right")) - 1
+            yield first_text + i, int(w - first_window[i]) * stride
+        first_text += n_texts
 
 
 def runs_of(words: list[str]) -> frozenset:
