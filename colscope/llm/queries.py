@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, forest, jaccard, lines, notices, toxicity
+from . import attribution, bpe, chats, decontaminate, forest, jaccard, lines, notices, toxicity, warc
 from .common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,13 +39,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = attribution.line_sections(read(spark, sf_dir, "documents"))
+    return attribution.count_tokens(documents, RANKS, public_tokenizers.PATTERN)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.render_chats(read(spark, sf_dir, "conversations"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digest(warc.archive_pages(read(spark, sf_dir, "pages")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_embedding_near_dedup, op3_line_dedup, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op10_byte_bpe)
+    for f in (op1_decontamination, op2_embedding_near_dedup, op3_line_dedup, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op7_token_counts, op8_chat_formatting, op9_warc, op10_byte_bpe)
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,4 +77,27 @@ with cut as (
 select doc_id, count(*) n_lines, count(*) filter (where keeper is not null and doc_id <> keeper) n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where keeper is null or doc_id = keeper), '')) kept_sha256
 from keyed left join common using (k) group by doc_id""",
+    "op8_chat_formatting": f"""
+with turns as (
+    select distinct conv_id, turn, coalesce(role, '') "role", coalesce(text, '') text from conversations where conv_id is not null
+), numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, "role", md5(text)) number from turns
+), logs as (
+    select conv_id, count(*) n, list("role" || chr(1) || text order by number) log from numbered group by conv_id
+), kept as (
+    select min(conv_id) conv_id from logs a
+    where not exists (select 1 from logs b where b.log[1] = a.log[1] and b.n > a.n and b.log[1:a.n] = a.log) group by a.log
+)
+select conv_id, (number - 1) // {chats.PART_TURNS} part, count(*) n_turns,
+       string_agg('<|im_start|>' || "role" || chr(10) || text || '<|im_end|>' || chr(10), '' order by number) text
+from numbered join kept using (conv_id) group by conv_id, (number - 1) // {chats.PART_TURNS}""",
+    "op9_warc": """
+with payloads as (
+    select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages
+), firsts as (
+    select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end first from payloads
+)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end record_type,
+       case when first <> page_id then first end refers_to
+from firsts""",
 }
