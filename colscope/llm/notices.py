@@ -111,7 +111,7 @@ class Scanner:
             for a, b in merged:
                 # the pattern looks at the neighbours of a match; a match itself stays in the window
                 for m in self.fuzzy[k].finditer(joined, max(0, a), min(len(joined), b + 1), overlapped=True):
-                    if joined[m.end()] == " ":
+                    if m.end() == len(joined) or joined[m.end()] == " ":
                         found.add((m.start(), m.end(), sum(m.fuzzy_counts), k))
         return self.best(sorted(found))
 
