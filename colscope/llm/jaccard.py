@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import Frames, components, in_batches, utf8
 
-# Shingles that more than about 4 * SAMPLE_PART documents hold go to the end of the global order;
+# Shingles that more than about 3 * SAMPLE_PART documents hold go to the end of the global order;
 # HOT_SHINGLES of them at most, found in one of SAMPLE_PART documents. Any order gives right results.
-SAMPLE_PART = 64
-HOT_SAMPLED = 4
+SAMPLE_PART = 16
+HOT_SAMPLED = 3
 HOT_SHINGLES = 65_536
 # Two minima make a band, and BANDS bands propose a highly similar set.
 BANDS = 4
