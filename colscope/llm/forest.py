@@ -177,7 +177,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, leaf: int =
     same = ["label", "size", "digest"]
     ready = frames.keep(prepared(vectors))
     known = ready.select("vec_id", *same).distinct()
-    groups = known.groupBy(*same).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # written before the join, so that a hot vector is split like any skewed key
+    groups = frames.keep(known.groupBy(*same).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     members = frames.keep(known.join(groups, same))
     points = frames.keep(
         ready.join(groups.select(*same, F.col("first").alias("vec_id"), "copies"), [*same, "vec_id"]).dropDuplicates([*same, "vec_id"])

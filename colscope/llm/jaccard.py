@@ -225,10 +225,11 @@ def verified(documents: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     return in_batches(both.select("a", "b", "text", "other"), f"a {id_type}, b {id_type}", step, "text")
 
 
-def similar_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
+def similar_pairs(nodes: DataFrame, rule: Rule, frames: Frames) -> DataFrame:
     """Each set with the smallest set of its bands: few pairs, most of them highly similar."""
     keyed = nodes.select("doc_id", "n", F.explode("bands").alias("band"))
-    first = keyed.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    # written before the join, so that a hot band is split like any skewed key
+    first = frames.keep(keyed.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last"))
     return (
         keyed.join(first, "band")
         .where((F.col("doc_id") != F.col("first.doc_id")) & rule.sizes_fit(F.col("n"), F.col("first.n")))
@@ -310,13 +311,13 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     whole = signed.where("n > 0 and doc_id is not null")
 
     # equal sets: one of them stands for all
-    first = whole.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first")
+    first = frames.keep(whole.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first"))
     copies = frames.keep(whole.select("doc_id", "digest").join(first, "digest").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "digest"))
     left_out = copies.select(F.col("b").alias("doc_id"), "digest").distinct()
     nodes = frames.keep(whole.select("doc_id", "digest", "n", "bands").join(left_out, ["doc_id", "digest"], "left_anti"))
 
     # highly similar sets: the answers of one hold for the other
-    similar = frames.keep(verified(documents, similar_pairs(nodes, rule), rule))
+    similar = frames.keep(verified(documents, similar_pairs(nodes, rule, frames), rule))
     taken = components(similar)
     placed = nodes.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "digest", F.coalesce("component", "doc_id").alias("component"))
     entries = whole.select("doc_id", "digest", "n", "prefix").join(placed, ["doc_id", "digest"])

@@ -88,7 +88,7 @@ def test_jaccard_finds_links_between_components(spark, monkeypatch, blocks):
     """Chains of edits: ends differ, neighbours link; the bands are shut off, so the index does the work."""
     monkeypatch.setattr(jaccard, "BLOCK_COMPONENTS", blocks[0])
     monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", blocks[1])
-    monkeypatch.setattr(jaccard, "similar_pairs", lambda nodes, rule: nodes.select(nodes.doc_id.alias("a"), nodes.doc_id.alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "similar_pairs", lambda nodes, rule, frames: nodes.select(nodes.doc_id.alias("a"), nodes.doc_id.alias("b")).limit(0))
     rows, words = [], prose(3, 150).split()
     for i in range(12):
         words[10 * i] = f"edit{i}"
