@@ -48,7 +48,7 @@ union all select 1, ordinal, 4, 'outliers', 'medium', "column" from profile
 union all select 1, ordinal, 5, 'distribution', 'low', "column" from profile where abs(skewness) >= 2"""
 PAIR_FINDINGS = """
 union all select 2, "rank", 1, 'redundancy', 'medium', column_1 || ' ~ ' || column_2 from strong
-  where "rank" <= 200 and abs_r >= 0.95::double"""
+  where abs_r >= 0.95::double"""
 GROUP_FINDINGS = """
 union all select 3, "group", 1, 'group', 'low', 'Group ' || "group" from groups where "group" <= 50"""
 SELECTION_FINDINGS = """
@@ -86,7 +86,7 @@ select 1 block, ordinal seq, chart, "column" column_x, '' column_y,
 from profile"""
 CHART_PAIRS = """
 union all select 2, "rank", 'scatter', column_1, column_2,
-  case when abs_r >= 0.9::double then 'high' else 'medium' end from strong where "rank" <= 200"""
+  case when abs_r >= 0.9::double then 'high' else 'medium' end from strong"""
 CHART_OUT = f"""select row_number() over (order by {_severity("priority")} desc, block, seq) "rank",
   priority, chart, column_x, column_y from advice"""
 
@@ -96,7 +96,9 @@ def _bars(value: str, label: str, relation: str, tie: str, limit: int) -> str:
   select {label} label, {value} v, {tie} tie from {relation} order by v desc, tie limit {limit})"""
 
 
-# Clustering, written for any number of clusters.
+# Clustering, written for any number of clusters and for as many rounds as are ever made: rounds
+# after the last that moved a row change nothing.
+MOST_ROUNDS = 35
 CLUSTER_NAMES = ["sum_qty", "n_lines", "avg_disc", "max_tax"]
 ZS = [f"z_{n}" for n in CLUSTER_NAMES]
 _Z_LIST = ", ".join(ZS)
@@ -146,17 +148,23 @@ odd as materialized (
   select row_number() over (order by d desc, l_orderkey) "rank", l_orderkey, i cluster, d distance, z z_score,
     case when d >= p99 or z >= 3 then 'high' else 'medium' end severity
   from (select p.*, w.p95, w.p99, case when w.s > 0 then (d - w.m) / w.s else 0 end z from placed p cross join spread w)
-  where d >= p95 or z >= 2.5::double order by 1 limit 200)"""
+  where d >= p95 or z >= 2.5::double)"""
     )
+    moved = " union all ".join(
+        f"select {r} r, count(*) filter (where a.i <> b.i) moved from a{r} a join "
+        + (f"a{r - 1} b using (l_orderkey)" if r > 1 else "(select l_orderkey, 0 i from std) b using (l_orderkey)")
+        for r in range(1, count + 1)
+    )
+    parts.append(f"settled as (select coalesce(min(r), {count}) rounds, count(*) > 0 converged from ({moved}) where moved = 0)")
     return ",\n".join(parts)
 
 
-CLUSTERED = f"with {WIDE_SOURCE},\n{STANDARD},\n{_rounds(3)}"
+CLUSTERED = f"with {WIDE_SOURCE},\n{STANDARD},\n{_rounds(MOST_ROUNDS)}"
 CLUSTER_FINDINGS = """
 union all select 4, 0, 1, 'kmeans', case when count(*) >= 20 then 'high' else 'medium' end, 'odd rows' from odd
   having count(*) > 0
 union all select 4, place, 2, 'small_segment', 'medium', 'Cluster ' || cluster from (
-  select *, row_number() over (order by "rank") place from clusters where pct <= 3) where place <= 10"""
+  select *, row_number() over (order by "rank") place from clusters where pct <= 3)"""
 
 CLUSTER_FEATURES = """select row_number() over (order by score desc, ordinal) "rank", "column", round(score, 6) score from (
   select *, 0.65::double * (1 - greatest(0, least(1, null_pct / 100)))
@@ -164,7 +172,7 @@ CLUSTER_FEATURES = """select row_number() over (order by score desc, ordinal) "r
     + 0.15::double * (greatest(0, least(8, ln(1 + coalesce(outliers_iqr, 0)))) / 8) score
   from profile where analytic_type = 'numeric' and null_pct <= 45 and std > 0 and "distinct" > 2
     and not (distinct_pct >= 95 and "rows" >= 500)
-  order by score desc, ordinal limit 12)"""
+)"""
 
 BOOTSTRAP_COLUMNS = """picked as (
   select ordinal, "column", true is_target, null::double score from profile
@@ -179,13 +187,13 @@ BOOTSTRAP_COLUMNS = """picked as (
     and not regexp_matches(lower("column"), 'id|cedula|cédula|codigo|código'))
 select row_number() over (order by is_target desc, score desc, ordinal) "rank", "column", is_target,
   round(score, 6) + 0.0::double score
-from picked order by 1 limit 8"""
+from picked"""
 
 SIMULATED = f"""sorted as materialized (
   select "value" v, row_number() over (order by "value") - 1 pos, count(*) over () n from events),
 draws as materialized (
-  select id // 50 sim, ('0x' || substr(md5('value|' || id), 1, 15))::bigint % (select count(*) from events) pos
-  from range(200 * 50) t(id))"""
+  select id // 250 sim, ('0x' || substr(md5('value|' || id), 1, 15))::bigint % (select count(*) from events) pos
+  from range(5000 * 250) t(id))"""
 SUMMARY = """drawn as materialized (
   select d.sim, s.v, h.hist_p5, h.hist_p95 from draws d join sorted s using (pos), (
     select quantile_cont("value", 0.05) hist_p5, quantile_cont("value", 0.95) hist_p95 from events) h),
@@ -198,8 +206,8 @@ sims as (select quantile_cont(mean, 0.05) sim_mean_p5, quantile_cont(mean, 0.5)
 tails as (select count(*) filter (where v > hist_p95) * 100.0::double / count(*) pct_above_p95,
     count(*) filter (where v < hist_p5) * 100.0::double / count(*) pct_below_p5 from drawn),
 summary as materialized (
-  select 1 "position", 'value' "column", h.*, s.*, sim_mean_p5 * 50 sim_total_p5, sim_mean_p50 * 50 sim_total_p50,
-    sim_mean_p95 * 50 sim_total_p95, t.*,
+  select 1 "position", 'value' "column", h.*, s.*, sim_mean_p5 * 250 sim_total_p5, sim_mean_p50 * 250 sim_total_p50,
+    sim_mean_p95 * 250 sim_total_p95, t.*,
     abs(sim_mean_p95 - sim_mean_p5) / abs(sim_mean_p50) rr, hist_std / abs(hist_mean) cv,
     (select outliers_iqr from profile where "column" = 'value') oi,
     (select skewness from profile where "column" = 'value') skew
@@ -219,7 +227,7 @@ EVENTS_SIMULATED = f"with {EVENTS},\n{SIMULATED},\n{SUMMARY}"
 SIMULATION_FINDINGS = """
 union all select 5, 0, 1, 'montecarlo', case when count(*) filter (where severity = 'high') > 0 then 'high' else 'medium' end,
   'simulated scenarios' from risks having count(*) > 0
-union all select 5, "rank", 2, 'risk', severity, "column" from risks where "rank" <= 8"""
+union all select 5, "rank", 2, 'risk', severity, "column" from risks"""
 
 SELECTION_OUT = """select "position", ordinal, "column", decision, round(score, 6) + 0.0::double score, analytic_type,
   round(null_pct, 6) null_pct, round(distinct_pct, 6) distinct_pct, round(max_correlation, 6) max_correlation,
@@ -267,10 +275,10 @@ select case when column_1 = 'gross' then j else i end ordinal,
   case when column_1 = 'gross' then column_2 else column_1 end "column", {r6("r")}
 from pairs where r is not null and (column_1 = 'gross' or column_2 = 'gross')""",
     "correlation_matrix_wide": f"""with {WIDE_SOURCE}, {WIDE_PAIRS},
-ends as (select "rank" * 2 place, column_1 c from strong where "rank" <= 300
-  union all select "rank" * 2 + 1, column_2 from strong where "rank" <= 300),
+ends as (select "rank" * 2 place, column_1 c from strong
+  union all select "rank" * 2 + 1, column_2 from strong),
 axis as (select row_number() over (order by place) - 1 spot, c from (
-  select c, min(place) place from ends group by c order by 2 limit 12)),
+  select c, min(place) place from ends group by c)),
 both_ways as (select column_1 a, column_2 b, r from strong union all select column_2, column_1, r from strong)
 select x.spot "row", y.spot col, x.c column_1, y.c column_2,
   round(case when x.spot = y.spot then 1.0::double else coalesce(r, 0) end, 6) + 0.0::double "value"
@@ -297,7 +305,7 @@ where analytic_type = 'numeric' and decision <> 'drop'""",
     "insights_selection_sparse": f"with {SPARSE},\n{S.SCORED},\n{S.selection_with(with_pairs=False)},\n"
     f"{_insights_with(SELECTION_FINDINGS)} select * from insights",
     "insights_simulation_events": f"{EVENTS_SIMULATED},\n{_insights_with(SIMULATION_FINDINGS)} select * from insights",
-    "insights_clusters_wide": f"with {WIDE},\n{STANDARD},\n{_rounds(3)},\n{_insights_with(CLUSTER_FINDINGS)} select * from insights",
+    "insights_clusters_wide": f"with {WIDE},\n{STANDARD},\n{_rounds(MOST_ROUNDS)},\n{_insights_with(CLUSTER_FINDINGS)} select * from insights",
     "findings_digest_wide": f"""with recursive {WIDE_SELECTED},
 {_insights_with(PAIR_FINDINGS, GROUP_FINDINGS, SELECTION_FINDINGS)},
 lines as (
@@ -306,7 +314,7 @@ lines as (
   union all select 2, 0, 'clustering_not_applied', 'low'
   union all select 4, 0, 'strong_pair', case when abs_r >= 0.95::double then 'high' else 'medium' end from strong where "rank" = 1
   union all select 5, 0, 'column_block', 'medium' from groups where "group" = 1
-  union all select 6, "rank", category, severity from insights where "rank" <= 12)
+  union all select 6, "rank", category, severity from insights)
 select row_number() over (order by block, item) "rank", severity, topic from lines""",
     "chart_advice_orders": f"with {ORDERS}, advice as ({CHART_ROWS}) {CHART_OUT}",
     "chart_advice_wide": f"with recursive {WIDE_SELECTED}, advice as ({CHART_ROWS}{CHART_PAIRS}) {CHART_OUT}",
@@ -348,18 +356,18 @@ select event_id, {", ".join(
     f"round(case when {n} is null then 0 else greatest(-8.0::double, least(8.0::double, ({n} - m_{n}) / s_{n})) end, 6)"
     f" + 0.0::double z_{n}" for n in GAPPED)}
 from src, m where {" + ".join(f"({n} is not null)::int" for n in GAPPED)} >= 2""",
-    "kmeans_rounds_wide": f"{CLUSTERED} select i cluster, size, {r6(*ZS)} from c3",
+    "kmeans_rounds_wide": f"{CLUSTERED} select i cluster, size, {r6(*ZS)} from c35",
     "cluster_stats_wide": f'{CLUSTERED} select "rank", cluster, size, {r6("pct", "mean_distance")}, reading from clusters',
     "odd_rows_wide": f'{CLUSTERED} select "rank", l_orderkey, cluster, {r6("distance", "z_score")}, severity from odd',
-    "cluster_summary_wide": f"""{CLUSTERED} select '{"; ".join(sorted(CLUSTER_NAMES))}' features, k, s.n "rows", 3 rounds,
+    "cluster_summary_wide": f"""{CLUSTERED} select '{"; ".join(sorted(CLUSTER_NAMES))}' features, k, s.n "rows", rounds, converged,
   round(m, 6) mean_distance, round(s.s, 6) std_distance, round(p95, 6) p95_distance, round(p99, 6) p99_distance,
-  (select count(*) from odd) odd_rows from spread s, sized""",
+  (select count(*) from odd) odd_rows from spread s, sized, settled""",
     "cluster_bars_wide": f"{CLUSTERED} " + _bars("pct", "'Cluster ' || cluster", "clusters", '"rank"', 12),
     "bootstrap_columns_wide": f"with {WIDE}, {BOOTSTRAP_COLUMNS}",
-    "bootstrap_batches_events": f"""with {SIMULATED}
-select 1 k, d.sim, round(avg(v), 6) mean, count(*) filter (where v > 150) above,
-  count(*) filter (where v < 2) below, count(*) draws
-from draws d join sorted s using (pos) group by d.sim""",
+    "bootstrap_batches_events": f"""{EVENTS_SIMULATED}
+select 1 k, sim, round(avg(v), 6) mean, count(*) filter (where v > hist_p95) above,
+  count(*) filter (where v < hist_p5) below, count(*) draws
+from drawn group by sim""",
     "bootstrap_summary_events": f"""{EVENTS_SIMULATED}
 select "position", "column", valid_values, {r6("hist_mean", "hist_std", "hist_min", "hist_p5", "hist_p50", "hist_p95",
   "hist_max", "sim_mean_p5", "sim_mean_p50", "sim_mean_p95", "sim_total_p5", "sim_total_p50", "sim_total_p95",
@@ -373,7 +381,7 @@ select "position", "column", valid_values, {r6("hist_mean", "hist_std", "hist_mi
 select "position", "column", seq, scenario, {r6("estimated_mean", "estimated_total")} from cut""",
     "bootstrap_risks_events": f"""{EVENTS_SIMULATED} select "rank", severity, "column", indicator, round("value", 6) "value" from risks""",
     "bootstrap_conclusion_events": f"""{EVENTS_SIMULATED}
-select 200 simulations, 50 batch, 1 columns, count(*) risks, count(*) filter (where severity = 'high') high_risks,
+select 5000 simulations, 250 batch, 1 columns, count(*) risks, count(*) filter (where severity = 'high') high_risks,
   case when count(*) filter (where severity = 'high') > 0 then 'high' when count(*) > 0 then 'moderate' else 'stable' end "level"
 from risks""",
     "simulated_range_bars_events": f"""{EVENTS_SIMULATED} """

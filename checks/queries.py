@@ -16,7 +16,7 @@ from colscope.operators.measures import measure
 from colscope.plans import analyze as analyses
 from colscope.plans import report, sinks
 from colscope.session import local_rows, materialize
-from colscope.sources import files, tables, texts
+from colscope.sources import tables, texts
 
 from . import views
 from .views import table
@@ -24,10 +24,6 @@ from .views import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Simulation sizes of the checked queries, small enough for the row-by-row SQL statement.
-SIMULATIONS, BATCH = 200, 50
-ROUNDS = 3
-
 
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
@@ -97,16 +93,6 @@ def finite_pairs_sparse(spark, sf):
     return local_rows(spark, rows, "column_1 string, column_2 string, common_rows bigint")
 
 
-@query
-def file_inventory_testdata(spark, sf):
-    return files.file_inventory(spark, sf, "parquet")
-
-
-@query
-def file_inventory_totals_testdata(spark, sf):
-    return files.file_inventory_totals(spark, sf, "parquet")
-
-
 # Profile
 
 
@@ -272,7 +258,7 @@ def insights_selection_sparse(spark, sf):
 def insights_simulation_events(spark, sf):
     df = table(spark, sf, "events")
     p = profiles.profile_columns(df)
-    simulated = bootstrap.bootstrap(df, p, simulations=SIMULATIONS, batch=BATCH)
+    simulated = bootstrap.bootstrap(df, p)
     return insights.insights(p, simulation=simulated).drop("message")
 
 
@@ -280,7 +266,7 @@ def insights_simulation_events(spark, sf):
 def insights_clusters_wide(spark, sf):
     df = wide(spark, sf)
     p = profiles.profile_columns(df)
-    clustered = clustering.cluster_rows(df, p, ["l_orderkey"], max_rounds=ROUNDS)
+    clustered = clustering.cluster_rows(df, p, ["l_orderkey"])
     return insights.insights(p, clusters=clustered).drop("message")
 
 
@@ -391,7 +377,7 @@ def standardize_sparse(spark, sf):
 def _clustered(spark, sf):
     df = wide(spark, sf)
     p = profiles.profile_columns(df)
-    return clustering.cluster_rows(df, p, ["l_orderkey"], max_rounds=ROUNDS)
+    return clustering.cluster_rows(df, p, ["l_orderkey"])
 
 
 @query
@@ -442,7 +428,7 @@ def bootstrap_columns_wide(spark, sf):
 def _simulated(spark, sf):
     df = table(spark, sf, "events")
     p = profiles.profile_columns(df)
-    return bootstrap.bootstrap(df, p, simulations=SIMULATIONS, batch=BATCH)
+    return bootstrap.bootstrap(df, p)
 
 
 @query
@@ -450,8 +436,10 @@ def bootstrap_batches_events(spark, sf):
     """Mean of every simulated batch."""
     df = table(spark, sf, "events")
     n = df.count()
-    history = [{"position": 1, "column": "value", "valid_values": n, "batch": BATCH, "hist_p5": 2.0, "hist_p95": 150.0}]
-    return rounded(bootstrap.simulated_batches(df, history, SIMULATIONS))
+    edges = quantiles.exact_quantiles(df.select("value"), {"value": [0.05, 0.95]}, {"value": n})
+    low, high = edges[("value", 0.05)], edges[("value", 0.95)]
+    history = [{"position": 1, "column": "value", "valid_values": n, "batch": bootstrap.BATCH, "hist_p5": low, "hist_p95": high}]
+    return rounded(bootstrap.simulated_batches(df, history, bootstrap.SIMULATIONS))
 
 
 @query
@@ -521,9 +509,7 @@ def merge_size_conversations(spark, sf):
 
 @query
 def summary_kpis_wide(spark, sf):
-    found = analyses.analyze(
-        wide(spark, sf), ["l_orderkey"], simulations=SIMULATIONS, batch=BATCH, max_rounds=ROUNDS
-    )
+    found = analyses.analyze(wide(spark, sf), ["l_orderkey"])
     return analyses.summary_kpis(found)
 
 
@@ -531,13 +517,11 @@ def summary_kpis_wide(spark, sf):
 def csv_profile_lineitem(spark, sf):
     """Profile table as it is printed in the CSV."""
     df = table(spark, sf, "lineitem")
-    found = analyses.analyze(df, ["l_orderkey", "l_linenumber"], simulations=SIMULATIONS, batch=BATCH, max_rounds=ROUNDS)
+    found = analyses.analyze(df, ["l_orderkey", "l_linenumber"])
     return sinks.csv_tables(found)["profile"]
 
 
 @query
 def report_lines_orders(spark, sf):
-    found = analyses.analyze(
-        table(spark, sf, "orders"), ["o_orderkey"], simulations=SIMULATIONS, batch=BATCH, max_rounds=ROUNDS
-    )
+    found = analyses.analyze(table(spark, sf, "orders"), ["o_orderkey"])
     return report.report_lines(found)

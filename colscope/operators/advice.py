@@ -9,8 +9,7 @@ from ..functions.scalars import abbreviate, clamp, severity_rank, whole_number
 from ..session import local_rows
 from .correlation import find_column, target_relevance
 
-# Pairs that get a scatter chart, and the correlation that makes it urgent.
-SCATTER_PAIRS = 200
+# Fixed value: the correlation that makes a scatter chart urgent.
 SCATTER_URGENT = 0.90
 
 
@@ -31,7 +30,7 @@ def chart_advice(profile: DataFrame, strong: DataFrame | None = None) -> DataFra
         ).alias("reason"),
     )
     if strong is not None:
-        scatter = strong.where(F.col("rank") <= SCATTER_PAIRS).select(
+        scatter = strong.select(
             F.lit(2).alias("block"),
             F.col("rank").alias("seq"),
             F.lit("scatter").alias("chart"),

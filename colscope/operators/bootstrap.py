@@ -35,7 +35,6 @@ from .quantiles import exact_quantiles
 SIMULATIONS = 5_000
 BATCH = 250
 LEAST_BATCH = 20
-MAX_COLUMNS = 8
 LEAST_VALUES = 30
 HISTORY = [0.05, 0.50, 0.95]
 # Draws per column that may be broadcast when the values outnumber them.
@@ -69,9 +68,9 @@ class BootstrapResult:
 
 
 def bootstrap_columns(
-    profile: DataFrame, target: str = "", names: list[str] | None = None, limit: int = MAX_COLUMNS
+    profile: DataFrame, target: str = "", names: list[str] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Columns to simulate: an exactly named numeric target first, then the best scored ones."""
+    """Columns to simulate: an exactly named numeric target first, then the best scored ones, all or ``limit``."""
     c = F.col
     numeric = profile.where(c("analytic_type") == "numeric")
     if names is not None:
@@ -104,7 +103,8 @@ def bootstrap_columns(
         .unionByName(fit.withColumn("score", score).withColumn("is_target", F.lit(False)).select(*kept))
     )
     order = [F.desc("is_target"), F.desc("score"), "ordinal"]
-    return every.orderBy(*order).limit(limit).select(
+    every = every.orderBy(*order)
+    return (every if limit is None else every.limit(limit)).select(
         F.row_number().over(Window.orderBy(*order)).alias("rank"), *kept
     )
 

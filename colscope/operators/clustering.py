@@ -16,17 +16,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import as_double, clamp, col, finite, zscore
 from ..functions.scalars import cluster_count as cluster_count_of
 from ..session import local_rows, materialize
-from .ordering import rows_at_positions
+from .ordering import rows_at_positions, running_index
 from .quantiles import exact_quantiles
 
 # Limits of the clustering step.
-MAX_FEATURES = 12
 LEAST_ROWS = 30
 LEAST_VALUES = 10
 LEAST_FILLED = 2
 MAX_ROUNDS = 35
 Z_BOUND = 8.0
-TOP_ODD_ROWS = 200
 SMALL_SEGMENT_PCT = 3.0
 ODD_Z, ODD_HIGH_Z = 2.5, 3.0
 EXPLAINED = 4
@@ -35,7 +33,7 @@ CENTROID_DIGITS = 12
 
 CLUSTER_SCHEMA = "rank int, cluster int, size bigint, pct double, mean_distance double, reading string"
 SUMMARY_SCHEMA = (
-    "features array<string>, k int, rows bigint, rounds int, mean_distance double, std_distance double, "
+    "features array<string>, k int, rows bigint, rounds int, converged boolean, mean_distance double, std_distance double, "
     "p95_distance double, p99_distance double, odd_rows bigint, conclusion string"
 )
 
@@ -56,8 +54,8 @@ def _log_term(c: Column, top: float) -> Column:
     return clamp(F.log1p(c), 0.0, top) / top
 
 
-def cluster_features(profile: DataFrame, names: list[str] | None = None, limit: int = MAX_FEATURES) -> DataFrame:
-    """Numeric columns worth clustering on, best first."""
+def cluster_features(profile: DataFrame, names: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Numeric columns worth clustering on, best first; all of them, or the ``limit`` best."""
     c = F.col
     std, outliers = F.coalesce("std", F.lit(0.0)), F.coalesce("outliers_iqr", F.lit(0)).cast("double")
     id_like = (F.coalesce("distinct_pct", F.lit(0.0)) >= 95.0) & (c("rows") >= 500)
@@ -76,7 +74,8 @@ def cluster_features(profile: DataFrame, names: list[str] | None = None, limit:
         + 0.20 * _log_term(F.abs(std), 10.0)
         + 0.15 * _log_term(outliers, 8.0)
     )
-    scored = fit.withColumn("score", score).orderBy(F.desc("score"), "ordinal").limit(limit)
+    scored = fit.withColumn("score", score).orderBy(F.desc("score"), "ordinal")
+    scored = scored if limit is None else scored.limit(limit)
     order = Window.orderBy(F.desc("score"), "ordinal")
     return scored.select(
         F.row_number().over(order).alias("rank"), "ordinal", "column", "score",
@@ -121,17 +120,18 @@ def cluster_rows(
     order_by: list[str],
     names: list[str] | None = None,
     keys: list[str] | None = None,
-    top: int = TOP_ODD_ROWS,
     max_rounds: int = MAX_ROUNDS,
+    max_features: int | None = None,
 ) -> ClusterResult:
     """Clusters of the rows and the rows farthest from their cluster centre.
 
     ``order_by`` fixes the row order that the seeds are taken from; ``keys`` (by default the same
-    columns) are carried through to identify rows.
+    columns) are carried through to identify rows. All odd rows are returned; ``converged`` in the
+    summary says whether the rounds ended because no row moved any more.
     """
     spark = df.sparkSession
     keys = list(dict.fromkeys((keys or []) + order_by))
-    picked = cluster_features(profile, names).orderBy("rank").collect()
+    picked = cluster_features(profile, names, max_features).orderBy("rank").collect()
     features = [(r["column"], r["finite_mean"], r["finite_std"]) for r in picked]
     if len(features) < 2 or any(
         r["finite"] < LEAST_VALUES or not r["finite_std"] > 0 for r in picked
@@ -146,7 +146,7 @@ def cluster_rows(
 
     seeds = _seeds(rows, order_by, n, k, len(features))
     fit = _lloyd(rows, zs, seeds, max_rounds)
-    return _describe(rows, zs, keys, order_by, [f[0] for f in features], fit, n, k, top)
+    return _describe(rows, zs, keys, order_by, [f[0] for f in features], fit, n, k)
 
 
 def _seeds(rows, order_by, n, k, d) -> list[list[float]]:
@@ -161,6 +161,7 @@ class _Fit:
     centroids: list[list[float]]  # means of that assignment
     sizes: list[int]
     rounds: int
+    converged: bool = False
 
 
 def _lloyd(rows, zs, seeds, max_rounds) -> _Fit:
@@ -189,11 +190,12 @@ def _lloyd(rows, zs, seeds, max_rounds) -> _Fit:
         fit = _Fit(current, means, sizes, number)
         before, current = current, means
         if not any(r["moved"] for r in found.values()):
+            fit.converged = True
             break
     return fit
 
 
-def _describe(rows, zs, keys, order_by, names, fit, n, k, top) -> ClusterResult:
+def _describe(rows, zs, keys, order_by, names, fit, n, k) -> ClusterResult:
     spark = rows.sparkSession
     own = " ".join(f"when cluster = {i} then {_gap(zs, c)}" for i, c in enumerate(fit.centroids))
     placed = with_nearest(rows, zs, {"cluster": fit.assigned_by}).selectExpr(
@@ -222,25 +224,25 @@ def _describe(rows, zs, keys, order_by, names, fit, n, k, top) -> ClusterResult:
     records.sort(key=lambda x: (-x[1], x[0]))
     clusters = local_rows(spark, [(rank, *x) for rank, x in enumerate(records, 1)], CLUSTER_SCHEMA)
 
-    odd = materialize(_odd_rows(placed, zs, keys, order_by, names, fit.centroids, mean, std, p95, p99, top))
+    odd = materialize(_odd_rows(placed, zs, keys, order_by, names, fit.centroids, mean, std, p95, p99))
     count = odd.count()
     if count:
         text = f"{k} clusters over {len(names)} numeric columns; {count} odd rows stand out and are worth a look first."
     else:
         text = f"{k} clusters over {len(names)} numeric columns; no row is far from its cluster."
     summary = local_rows(
-        spark, [(names, k, n, fit.rounds, mean, std, p95, p99, count, text)], SUMMARY_SCHEMA
+        spark, [(names, k, n, fit.rounds, fit.converged, mean, std, p95, p99, count, text)], SUMMARY_SCHEMA
     )
     return ClusterResult(
         True, clusters, odd, summary, placed.select(*keys, "cluster", "distance"), names, fit.centroids, fit.sizes
     )
 
 
-def _odd_rows(placed, zs, keys, order_by, names, centroids, mean, std, p95, p99, top) -> DataFrame:
+def _odd_rows(placed, zs, keys, order_by, names, centroids, mean, std, p95, p99) -> DataFrame:
     z = (F.col("distance") - mean) / std if std > 0 else F.lit(0.0)
     marked = placed.withColumn("z_score", z).where((F.col("distance") >= p95) | (F.col("z_score") >= ODD_Z))
-    order = [F.desc("distance"), *[col(k) for k in order_by]]
-    first = marked.orderBy(*order).limit(top)
+    # ranked by ranges of the distance: their number grows with the table
+    ranked = running_index(marked.withColumn("_nearness", -F.col("distance")), ["_nearness", *order_by], out="_place")
 
     high = (F.col("distance") >= p99) | (F.col("z_score") >= ODD_HIGH_Z)
     parts = []
@@ -251,8 +253,8 @@ def _odd_rows(placed, zs, keys, order_by, names, centroids, mean, std, p95, p99,
         )
     farthest = F.slice(F.array_sort(F.array(*parts)), 1, EXPLAINED)
     words = F.transform(farthest, lambda x: F.concat(x["name"], F.format_string("=%.2fσ", x["z"])))
-    return first.select(
-        F.row_number().over(Window.orderBy(*order)).alias("rank"),
+    return ranked.select(
+        (F.col("_place") + 1).alias("rank"),
         *[col(k) for k in keys],
         "cluster", "distance", "z_score",
         F.when(high, "high").otherwise("medium").alias("severity"),
@@ -263,7 +265,7 @@ def _odd_rows(placed, zs, keys, order_by, names, centroids, mean, std, p95, p99,
 
 def _not_applied(spark: SparkSession, df: DataFrame, keys: list[str]) -> ClusterResult:
     odd = df.select(
-        F.lit(0).alias("rank"), *[col(k) for k in keys], F.lit(0).alias("cluster"),
+        F.lit(0).cast("bigint").alias("rank"), *[col(k) for k in keys], F.lit(0).alias("cluster"),
         F.lit(0.0).alias("distance"), F.lit(0.0).alias("z_score"), F.lit("").alias("severity"),
         F.lit("").alias("reason"), F.lit("").alias("explanation"),
     ).where(F.lit(False))

@@ -24,10 +24,8 @@ SUMS_PER_SCAN = 60
 GAPPED_PER_SCAN = 12
 SCANS_PER_JOB = 16
 COLUMNS_PER_SCAN = 16
-# Default limits of strong pairs and of the matrix.
+# Fixed value: the default limit of strong pairs.
 STRONG = 0.70
-MATRIX_COLUMNS = 12
-MATRIX_PAIRS = 300
 
 PAIR_SCHEMA = "i int, j int, column_1 string, column_2 string, r double"
 
@@ -75,9 +73,9 @@ def strong_pairs(pairs: DataFrame, threshold: float = STRONG) -> DataFrame:
     )
 
 
-def correlation_matrix(strong: DataFrame, limit: int = MATRIX_COLUMNS) -> DataFrame:
-    """Square matrix, in long form, of the first columns met along the strong pairs."""
-    ends = strong.where(F.col("rank") <= MATRIX_PAIRS).select(
+def correlation_matrix(strong: DataFrame, limit: int | None = None) -> DataFrame:
+    """Square matrix, in long form, of the columns met along the strong pairs, all or the first ``limit``."""
+    ends = strong.select(
         F.inline(
             F.array(
                 F.struct((F.col("rank") * 2).alias("place"), F.col("column_1").alias("column")),
@@ -85,7 +83,8 @@ def correlation_matrix(strong: DataFrame, limit: int = MATRIX_COLUMNS) -> DataFr
             )
         )
     )
-    firsts = ends.groupBy("column").agg(F.min("place").alias("place")).orderBy("place").limit(limit)
+    firsts = ends.groupBy("column").agg(F.min("place").alias("place")).orderBy("place")
+    firsts = firsts if limit is None else firsts.limit(limit)
     axis = firsts.agg(F.array_sort(F.collect_list(F.struct("place", "column"))).alias("axis")).where(
         F.size("axis") >= 2
     )

@@ -11,8 +11,7 @@ from ..functions.scalars import severity_rank
 from .bootstrap import BootstrapResult
 from .clustering import SMALL_SEGMENT_PCT, ClusterResult
 
-# How many rows of each source a rule looks at.
-PAIRS, GROUPS, SMALL_CLUSTERS, RISKS, DROPS, DIGEST = 200, 50, 10, 8, 5, 12
+# The limits of the rules.
 NEAR_DUPLICATE = 0.95
 MANY_ODD_ROWS = 20
 
@@ -52,17 +51,16 @@ def column_findings(profile: DataFrame) -> DataFrame:
 
 
 def pair_findings(strong: DataFrame) -> DataFrame:
-    close = strong.where((F.col("rank") <= PAIRS) & (F.col("abs_r") >= NEAR_DUPLICATE))
+    close = strong.where(F.col("abs_r") >= NEAR_DUPLICATE)
     subject = F.concat("column_1", F.lit(" ~ "), "column_2")
     message = F.format_string("nearly the same information (r=%.4f); models need only one of the two", "r")
     return close.select(*_finding(2, F.col("rank"), 1, "redundancy", "medium", subject, message))
 
 
 def group_findings(groups: DataFrame) -> DataFrame:
-    first = groups.where(F.col("group") <= GROUPS)
     message = F.format_string("%d columns move together and may describe the same thing", "size")
     subject = F.format_string("Group %d", "group")
-    return first.select(*_finding(3, F.col("group"), 1, "group", "low", subject, message))
+    return groups.select(*_finding(3, F.col("group"), 1, "group", "low", subject, message))
 
 
 def cluster_findings(result: ClusterResult) -> DataFrame:
@@ -74,7 +72,6 @@ def cluster_findings(result: ClusterResult) -> DataFrame:
     small = (
         result.clusters.where(F.col("pct") <= SMALL_SEGMENT_PCT)
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= SMALL_CLUSTERS)
     )
     text = F.format_string("holds only %.2f%% of the rows: a special case, another rule or bad loads", "pct")
     subject = F.format_string("Cluster %d", "cluster")
@@ -86,10 +83,9 @@ def bootstrap_findings(result: BootstrapResult) -> DataFrame:
     severity = F.when(F.col("high_risks") > 0, "high").otherwise("medium")
     message = F.format_string("%d signals of uncertainty in %d columns", "risks", "columns")
     head = some.select(*_finding(5, 0, 1, "montecarlo", severity, "simulated scenarios", message))
-    first = result.risks.where(F.col("rank") <= RISKS)
     text = F.format_string("%s = %.4f: %s", "indicator", "value", "reading")
     return head.unionByName(
-        first.select(*_finding(5, F.col("rank"), 2, "risk", F.col("severity"), F.col("column"), text))
+        result.risks.select(*_finding(5, F.col("rank"), 2, "risk", F.col("severity"), F.col("column"), text))
     )
 
 
@@ -100,7 +96,6 @@ def selection_findings(selection: DataFrame, summary: DataFrame) -> DataFrame:
     drops = (
         selection.where(F.col("decision") == "drop")
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= DROPS)
     )
     level = F.when(F.col("risk") == "high", "high").otherwise("medium")
     text = F.concat(F.lit("can be dropped: "), "actions", F.lit(". Why: "), "reasons")
@@ -147,8 +142,9 @@ def findings_digest(
     groups: DataFrame | None = None,
     clusters: ClusterResult | None = None,
     simulation: BootstrapResult | None = None,
+    first: int | None = None,
 ) -> DataFrame:
-    """What to look at first: one line per analysis, then the first findings."""
+    """What to look at: one line per analysis, then the findings, all or the ``first`` ones."""
     parts = []
 
     def line(block, source, topic, severity, message, item=F.lit(0)):
@@ -179,7 +175,7 @@ def findings_digest(
         text = F.format_string("a block of %d columns behaves alike", "size")
         line(5, groups.where(c("group") == 1), "column_block", "medium", text)
     text = F.concat("subject", F.lit(": "), "message")
-    line(6, found.where(c("rank") <= DIGEST), c("category"), c("severity"), text, c("rank"))
+    line(6, found if first is None else found.where(c("rank") <= first), c("category"), c("severity"), text, c("rank"))
     every = reduce(DataFrame.unionByName, parts)
     order = Window.orderBy("block", "item")
     return every.select(F.row_number().over(order).alias("rank"), "severity", "topic", "message")

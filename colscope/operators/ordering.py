@@ -7,8 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +17,10 @@ from ..session import cut_lineage
 from .quantiles import SAMPLE, SMALL, values_at_ranks
 
 
+# Characters of a text that take part in a row order by rank search.
+TEXT_KEY = 64
 # Types whose values compare alike in Spark, Arrow and Python.
+RANGE = "_range"
 GROUP_TYPES = INTEGRAL_TYPES + (T.StringType, T.BooleanType, T.DateType)
 
 
@@ -41,7 +43,9 @@ def running_index(
         if not isinstance(df.schema[n].dataType, GROUP_TYPES):
             raise ValueError(f"group by whole numbers, text, booleans or dates; cast {n!r} to one of them")
     keys = [col(n) for n in group + order_by]
-    ranged = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The number of the range is written with the rows: later reads may cut, merge or unite partitions.
+    ranged = cut_lineage(ordered.withColumn(RANGE, F.spark_partition_id()))
     carried = _carried_totals(ranged, weight, group)
 
     # Both functions travel to the workers as they are, without needing this package there.
@@ -58,12 +62,24 @@ def running_index(
         final = tuple(v[-1].as_py() for v in values)
         return np.flatnonzero(differs) + 1, first, final
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = carried.get(TaskContext.get().partitionId(), (None, 0))
-        fresh = last is None
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches cut where another range begins."""
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
+            numbers = batch.column(batch.schema.get_field_index(RANGE)).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, total, fresh = None, None, 0, True
+        for batch in pieces(batches):
+            number = batch.column(batch.schema.get_field_index(RANGE))[0].as_py()
+            batch = batch.drop_columns([RANGE])
+            if number != now:
+                now = number
+                last, total = carried.get(number, (None, 0))
+                fresh = last is None
             if weight is None:
                 w = np.ones(batch.num_rows, dtype="int64")
             else:
@@ -82,7 +98,7 @@ def running_index(
             total, last = int(start[-1] + w[-1]), final
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], names=[*batch.schema.names, out])
 
-    schema = T.StructType([*ranged.schema.fields, T.StructField(out, T.LongType(), False)])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType(), False)])
     return ranged.mapInArrow(add, schema)
 
 
@@ -91,7 +107,7 @@ def _carried_totals(ranged: DataFrame, weight: str | None, group: list[str]) ->
     amount = F.count(F.lit(1)) if weight is None else F.sum(col(weight))
     key = F.struct(*[col(n) for n in group]) if group else F.struct(F.lit(0).alias("all"))
     rows = (
-        ranged.groupBy(F.spark_partition_id().alias("p"), key.alias("g"))
+        ranged.groupBy(F.col(RANGE).alias("p"), key.alias("g"))
         .agg(amount.cast("bigint").alias("w"))
         .groupBy("p")
         .agg(F.min("g").alias("first"), F.max("g").alias("last"), F.max_by("w", "g").alias("w"))
@@ -144,6 +160,14 @@ def _orderable(data_type: T.DataType) -> bool:
     return not holds_map(data_type)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A whole number from all columns, maps as sorted entries: an order for tables that name none."""
+    def plain(f):
+        return F.array_sort(F.map_entries(col(f.name))) if isinstance(f.dataType, T.MapType) else col(f.name)
+
+    return F.xxhash64(*[plain(f) for f in df.schema.fields if isinstance(f.dataType, T.MapType) or not holds_map(f.dataType)])
+
+
 def rows_at_positions(
     df: DataFrame,
     order_by: list[str],
@@ -155,12 +179,32 @@ def rows_at_positions(
 
     The value at each position is found by rank search, not by sorting. Rows with equal keys are
     taken apart by the next key and at last by a hash of the whole row, so only rows that are the
-    same anyway can stand in for each other. Nulls come first.
+    same anyway can stand in for each other. Nulls come first, NaN last. Long texts are not
+    searched value by value: their first ``TEXT_KEY`` characters decide, then the hash.
     """
     columns = df.columns
-    keyed = df.withColumn("_hash", F.xxhash64(*[col(n) for n in columns]))
+    keyed = df.withColumn("_hash", row_hash(df))
+    for n in order_by:
+        data_type = df.schema[n].dataType
+        if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType, T.VariantType, T.BinaryType)):
+            raise ValueError(f"rows can't be ordered by {n!r} of type {data_type.simpleString()}; leave order_by out to order by a hash of the row")
+    order: list[str] = []
+    for i, n in enumerate(order_by):
+        data_type, c = df.schema[n].dataType, col(n)
+        if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
+            keys = [F.substring(c, 1, TEXT_KEY)]
+        elif isinstance(data_type, (T.FloatType, T.DoubleType)):
+            keys = [F.when(c.isNotNull(), F.isnan(c).cast("int")), F.when(F.isnan(c), 0.0).otherwise(c)]
+        elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+            zero = "TIMESTAMP'1970-01-01 00:00:00Z'" if isinstance(data_type, T.TimestampType) else "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+            keys = [F.timestamp_diff("MICROSECOND", F.expr(zero), c)]
+        else:
+            keys = [c]
+        for j, k in enumerate(keys):
+            order.append(f"_key_{i}_{j}")
+            keyed = keyed.withColumn(order[-1], k)
     found: dict[int, dict] = {}
-    _search_rows(keyed, [*order_by, "_hash"], {p: p for p in positions}, found, small, sample)
+    _search_rows(keyed, [*order, "_hash"], {p: p for p in positions}, found, small, sample)
     return {p: {n: found[p][n] for n in columns} for p in positions}
 
 

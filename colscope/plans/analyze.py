@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import holds_map
 from ..operators.advice import chart_advice, ml_scores
 from ..operators.bootstrap import BATCH, SIMULATIONS, BootstrapResult, bootstrap
 from ..operators.clustering import MAX_ROUNDS, ClusterResult, cluster_rows
 from ..operators.correlation import STRONG, pairwise_pearson, strong_pairs
 from ..operators.groups import LEAST_MEMBERS, column_groups
 from ..operators.insights import findings_digest, insights
+from ..operators.ordering import row_hash
 from ..operators.profile import profile_columns
 from ..operators.selection import MIN_SCORE, analysis_columns, feature_selection, selection_summary
 from ..session import local_rows, materialize
@@ -54,18 +54,22 @@ def analyze(
 ) -> Analysis:
     """Profile, select, correlate, group, cluster, simulate and turn it all into findings.
 
-    ``order_by`` fixes the row order the cluster seeds come from (by default all columns in turn);
-    name a unique column where there is one. Several jobs read ``df``: pass a table scan, or
+    ``order_by`` fixes the row order the cluster seeds come from and names odd rows (by
+    default a hash of the whole row); name a unique column where there is one. Several jobs read ``df``: pass a table scan, or
     ``materialize`` an expensive frame first.
     """
     spark = df.sparkSession
+    ordered = df
     if order_by is None:
-        order_by = [f.name for f in df.schema.fields if not holds_map(f.dataType)]
+        name = "row_hash"
+        while name in df.columns:
+            name += "_"
+        ordered, order_by = df.withColumn(name, row_hash(df)), [name]
     profile = profile_columns(df, distinct=distinct)
     names = analysis_columns(profile, min_score, apply_selection)
     pairs = _kept(strong_pairs(pairwise_pearson(df, names), threshold))
     groups = _kept(column_groups(pairs, threshold, min_group))
-    clusters = cluster_rows(df, profile, order_by, names, max_rounds=max_rounds)
+    clusters = cluster_rows(ordered, profile, order_by, names, max_rounds=max_rounds)
     simulation = bootstrap(df, profile, target, names, simulations, batch)
     selection = _kept(feature_selection(profile, pairs, min_score))
     summary = selection_summary(selection, names, min_score, apply_selection)
