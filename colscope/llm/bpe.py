@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, utf8
 
-# Bounds of what a worker keeps: transitions of the transducer and encoded pieces. Beyond them the
+# Bounds of what a worker keeps: transitions, encoded pieces and pairs of tokens. Beyond them the
 # tables start afresh, which costs time and changes nothing.
-MAX_TRANSITIONS = 600_000
-MAX_PIECES = 300_000
+MAX_TRANSITIONS = 400_000
+MAX_PIECES = 200_000
+MAX_PAIRS = 120_000
 KEPT_PIECE = 64
 
 
@@ -70,7 +71,10 @@ class Transducer:
         self.hypotheses: dict[tuple, tuple] = {}
         self.states: dict[tuple, int] = {((-1, 0, ()),): 0}
         self.sets = [((-1, 0, ()),)]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # state and byte to the next state and, in the lower bits, what is emitted: one number each
+        self.moves: dict[int, int] = {}
+        self.outputs: list[tuple[int, ...]] = [()]
+        self.output_of: dict[tuple[int, ...], int] = {(): 0}
         self.ends: dict[int, tuple[int, ...]] = {}
 
     def spine(self, token: int) -> tuple[list, list] | None:
@@ -102,7 +106,7 @@ class Transducer:
         known = self.agreed.get(pair)
         if known is not None:
             return known
-        if len(self.agreed) >= MAX_TRANSITIONS:
+        if len(self.agreed) >= MAX_PAIRS:
             self.agreed.clear()
         first, second = self.spine(before) if before >= 0 else ((), ()), self.spine(token)
         if before < 0:
@@ -118,8 +122,8 @@ class Transducer:
         self.agreed[pair] = known
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after one more byte, and the tokens that are certain by then."""
+    def move(self, state: int, byte: int) -> int:
+        """The state after one more byte, and the number of the tokens that are certain by then."""
         live = []
         for last, node, pending in self.sets[state]:
             child = self.children[node].get(byte)
@@ -144,7 +148,10 @@ class Transducer:
         if number is None:
             number = self.states[after] = len(self.sets)
             self.sets.append(after)
-        made = self.moves[state << 8 | byte] = (number, first[:shared])
+        output = self.output_of.setdefault(first[:shared], len(self.outputs))
+        if output == len(self.outputs):
+            self.outputs.append(first[:shared])
+        made = self.moves[state << 8 | byte] = number << 24 | output
         return made
 
     def end(self, state: int) -> tuple[int, ...]:
@@ -160,12 +167,12 @@ class Transducer:
             return [whole]
         if len(self.moves) >= MAX_TRANSITIONS:
             self.reset()
-        state, out, known = 0, [], self.moves.get
+        state, out, known, outputs = 0, [], self.moves.get, self.outputs
         for byte in piece:
             step = known(state << 8 | byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            state = step >> 24
+            if emitted := step & 0xFFFFFF:
+                out += outputs[emitted]
         out += self.end(state)
         return out
 

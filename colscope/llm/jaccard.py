@@ -28,7 +28,7 @@ BANDS = 4
 BLOCK_COMPONENTS = 128
 BLOCK_ENTRIES = 1024
 # Words whose hashes a worker keeps, and bits of the bounded filter of ids.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 FILTER_BITS = 1 << 25
 
 MASK = np.uint64((1 << 62) - 1)

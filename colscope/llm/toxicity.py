@@ -29,6 +29,8 @@ LEAST_TOXIC = 8
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 SEED = 7
+# Words whose features a worker keeps.
+KEPT_WORDS = 200_000
 
 # Terms that name groups of people, in sets whose members can stand for each other. A parameter.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -76,7 +78,7 @@ class Scorer:
     def look(self, word: str) -> tuple:
         have = self.model.weights
         hits = ((word,) if word in have else ()) + tuple(x for n in PREFIXES if len(word) > n and (x := word[:n] + "*") in have)
-        if len(self.seen) >= 500_000:
+        if len(self.seen) >= KEPT_WORDS:
             self.seen.clear()
         self.seen[word] = hits
         return hits
