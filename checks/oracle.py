@@ -397,11 +397,12 @@ from documents""",
   string_agg(text, chr(10) order by turn) merged from conversations where lower(role) <> 'system' group by conv_id""",
     "part_sizes_conversations": """select conv_id, turn, strlen(text) bytes, strlen(text) // 1024 kb from conversations""",
     "merge_size_conversations": """with g as (
-  select conv_id, count(*) parts, sum(strlen(text))::bigint bytes, sum(strlen(text))::bigint + count(*) - 1 merged_bytes
-  from conversations group by conv_id),
-t as (select * from g union all
-  select null, sum(parts)::bigint, sum(bytes)::bigint, sum(merged_bytes)::bigint from g)
-select conv_id, parts, bytes, bytes // 1024 kb, merged_bytes, merged_bytes // 1024 merged_kb from t""",
+  select conv_id, count(*) filter (where lower(role) <> 'system') parts,
+    coalesce(sum(strlen(text)) filter (where lower(role) <> 'system'), 0)::bigint bytes from conversations group by conv_id),
+m as (select conv_id, false is_total, parts, bytes, bytes + greatest(parts - 1, 0) merged_bytes from g),
+t as (select * from m union all
+  select null, true, sum(parts)::bigint, sum(bytes)::bigint, sum(merged_bytes)::bigint from m)
+select conv_id, is_total, parts, bytes, bytes // 1024 kb, merged_bytes, merged_bytes // 1024 merged_kb from t""",
 }
 ORACLE["pearson_matrix_sparse"] = ORACLE["pearson_pairs_sparse"]
 

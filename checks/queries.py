@@ -501,7 +501,7 @@ def part_sizes_conversations(spark, sf):
 
 @query
 def merge_size_conversations(spark, sf):
-    return texts.merge_size_report(table(spark, sf, "conversations"), "conv_id", "text")
+    return texts.merge_size_report(table(spark, sf, "conversations"), "conv_id", "text", name="role", output_name="SYSTEM")
 
 
 # Whole analysis

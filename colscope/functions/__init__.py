@@ -10,14 +10,12 @@ from .scalars import (
     clamp,
     cluster_count,
     correlation_strength,
-    csv_field,
     finite,
     fixed_decimals,
     html_text,
     looks_like_id,
     relative_range,
     severity_rank,
-    squared_distance,
     variation_coefficient,
     whole_number,
     zscore,

@@ -93,6 +93,9 @@ def distinct_family(data_type: T.DataType) -> str | None:
         return "double"
     if isinstance(data_type, TEMPORAL_TYPES + (T.BooleanType,)):
         return data_type.simpleString()
+    if isinstance(data_type, (T.ArrayType, T.StructType)):
+        # compared by their own values, so nothing is lost in a printed form
+        return f"nested {data_type.json()}"
     return "string"
 
 
@@ -105,14 +108,14 @@ def distinct_key(name: str, data_type: T.DataType) -> Column:
     """Value that is equal exactly when the column value is equal, cheap to shuffle."""
     family = distinct_family(data_type)
     c = col(name)
+    if isinstance(data_type, (T.ArrayType, T.StructType)):
+        return c
     if family != "string":
         return c.cast(family)
     if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
         text = c
     elif isinstance(data_type, T.BinaryType):
         text = F.hex(c)
-    elif isinstance(data_type, (T.ArrayType, T.StructType)):
-        text = F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
     else:
         text = c.cast("string")
     return F.when(F.length(text) <= SHORT_KEY, text).otherwise(F.sha2(text, 256))

@@ -67,14 +67,6 @@ def zscore(c: Column, mean: float, std: float, bound: float = 8.0) -> Column:
     return F.coalesce(clamp((finite(c) - F.lit(mean)) / F.lit(std), -bound, bound), F.lit(0.0))
 
 
-def squared_distance(xs: list[Column], ys: list[Column]) -> Column:
-    total = None
-    for x, y in zip(xs, ys):
-        gap = x - y
-        total = gap * gap if total is None else total + gap * gap
-    return F.lit(0.0) if total is None else total
-
-
 def severity_rank(c: Column) -> Column:
     rank = F.lit(1)
     for name, value in SEVERITY_RANKS.items():
@@ -117,12 +109,6 @@ def variation_coefficient(std: Column, mean: Column) -> Column:
     return F.when(F.abs(mean) > NEAR_ZERO, F.abs(std / F.abs(mean))).otherwise(F.abs(std))
 
 
-def csv_field(c: Column) -> Column:
-    """Text of one CSV cell: quoted only when it holds a comma, a quote or a newline."""
-    doubled = F.replace(c, F.lit('"'), F.lit('""'))
-    return F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(c)
-
-
 def html_text(c: Column) -> Column:
     # "&" has to go first, or it would escape the other replacements again.
     out = c

@@ -258,7 +258,7 @@ def _odd_rows(placed, zs, keys, order_by, names, centroids, mean, std, p95, p99)
         *[col(k) for k in keys],
         "cluster", "distance", "z_score",
         F.when(high, "high").otherwise("medium").alias("severity"),
-        F.when(high, "very far from the centre of its cluster").otherwise("farther away than most rows").alias("reason"),
+        F.concat(F.format_string("distance %.2f, ", "distance"), F.when(high, "beyond the 99th percentile or 3 deviations").otherwise("beyond the 95th percentile or 2.5 deviations")).alias("reason"),
         F.array_join(words, "; ").alias("explanation"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 # Fixed value: fewest columns in a group.
 LEAST_MEMBERS = 3
@@ -20,6 +20,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = materialize(ends.distinct())
     labels = ends.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    last = None
     while True:
         around = (
             ends.join(labels, ends["b"] == labels["node"])
@@ -37,7 +38,11 @@ def component_labels(edges: DataFrame) -> DataFrame:
         )
         changed = stepped.where(F.col("label") != F.col("old")).limit(1).count()
         labels = stepped.select("node", "label")
+        if last is not None:
+            discard(last)
+        last = stepped
         if not changed:
+            discard(ends)
             return labels
 
 

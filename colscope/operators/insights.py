@@ -38,14 +38,14 @@ def column_findings(profile: DataFrame) -> DataFrame:
 
     found = F.array(
         rule(1, "quality", c("null_pct") >= 20.0, F.when(c("null_pct") >= 50.0, "high").otherwise("medium"),
-             F.format_string("%.2f%% of the values are missing", "null_pct")),
-        rule(2, "variability", c("distinct") == 1, "medium", "the value never changes"),
+             F.format_string("blank in %.2f%% of the rows", "null_pct")),
+        rule(2, "variability", c("distinct") == 1, "medium", "same value in every row that has one"),
         rule(3, "identifier", (c("distinct_pct") >= 95.0) & (c("rows") > 100), "low",
-             F.format_string("%.2f%% of the values are different; probably an identifier", "distinct_pct")),
+             F.format_string("%.2f%% distinct: tells rows apart, groups none", "distinct_pct")),
         rule(4, "outliers", outlier_pct >= 5.0, "medium",
-             F.format_string("%.2f%% of the values lie outside the quartile fences", outlier_pct)),
+             F.format_string("%.2f%% beyond 1.5 quartile ranges; means and deviations lean on them", outlier_pct)),
         rule(5, "distribution", F.abs("skewness") >= 2.0, "low",
-             F.format_string("very lopsided (skewness %.2f); a log scale may help", "skewness")),
+             F.format_string("skewness %.2f: median and mean tell different stories", "skewness")),
     )
     return profile.select(F.inline(F.filter(found, lambda x: x.isNotNull())))
 
@@ -53,12 +53,12 @@ def column_findings(profile: DataFrame) -> DataFrame:
 def pair_findings(strong: DataFrame) -> DataFrame:
     close = strong.where(F.col("abs_r") >= NEAR_DUPLICATE)
     subject = F.concat("column_1", F.lit(" ~ "), "column_2")
-    message = F.format_string("nearly the same information (r=%.4f); models need only one of the two", "r")
+    message = F.format_string("r=%.4f: each can be computed from the other almost exactly", "r")
     return close.select(*_finding(2, F.col("rank"), 1, "redundancy", "medium", subject, message))
 
 
 def group_findings(groups: DataFrame) -> DataFrame:
-    message = F.format_string("%d columns move together and may describe the same thing", "size")
+    message = F.format_string("%d columns linked by strong correlations", "size")
     subject = F.format_string("Group %d", "group")
     return groups.select(*_finding(3, F.col("group"), 1, "group", "low", subject, message))
 
@@ -73,7 +73,7 @@ def cluster_findings(result: ClusterResult) -> DataFrame:
         result.clusters.where(F.col("pct") <= SMALL_SEGMENT_PCT)
         .withColumn("place", F.row_number().over(order))
     )
-    text = F.format_string("holds only %.2f%% of the rows: a special case, another rule or bad loads", "pct")
+    text = F.format_string("%.2f%% of the rows; compare a few of them with the rest", "pct")
     subject = F.format_string("Cluster %d", "cluster")
     return odd.unionByName(small.select(*_finding(4, F.col("place"), 2, "small_segment", "medium", subject, text)))
 

@@ -195,9 +195,12 @@ def rows_at_positions(
             keys = [F.substring(c, 1, TEXT_KEY)]
         elif isinstance(data_type, (T.FloatType, T.DoubleType)):
             keys = [F.when(c.isNotNull(), F.isnan(c).cast("int")), F.when(F.isnan(c), 0.0).otherwise(c)]
-        elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-            zero = "TIMESTAMP'1970-01-01 00:00:00Z'" if isinstance(data_type, T.TimestampType) else "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-            keys = [F.timestamp_diff("MICROSECOND", F.expr(zero), c)]
+        elif isinstance(data_type, T.TimestampType):
+            keys = [F.unix_micros(c)]
+        elif isinstance(data_type, T.TimestampNTZType):
+            # by its own digits: the session's zone has no say
+            seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+            keys = [seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")]
         else:
             keys = [c]
         for j, k in enumerate(keys):

@@ -1,180 +1,144 @@
-"""The HTML report as a DataFrame of lines in page order."""
+"""The HTML report as a DataFrame of lines in page order.
+
+The page asks four questions: what needs attention, what each column is good for, what hangs
+together, and what the simulated ranges say. Long lists end with the number of entries left out.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_decimals, html_text, whole_number
 from ..session import local_rows
 from .analyze import Analysis
 
-# Rows shown per section of the page, and per table of an interactive view.
-REPORT_LIMITS = {
-    "selection": 120, "nulls": 20, "insights": 50, "pairs": 100, "odd_rows": 50,
-    "simulation": 50, "risks": 50, "advice": 100, "ml": 50,
-}
-SCREEN_LIMITS = {
-    "profile": 400, "selection": 200, "pairs": 200, "insights": 300, "advice": 300,
-    "odd_rows": 100, "simulation": 100, "risks": 100, "scenarios": 150, "ml": 300, "findings": 12,
-}
-
-_STYLE = (
-    "body{font-family:sans-serif;margin:2em;color:#222}table{border-collapse:collapse;width:100%}"
-    "td,th{border:1px solid #ccc;padding:4px 8px;text-align:left;font-size:13px}"
-    ".kpi{display:inline-block;border:1px solid #ccc;padding:8px 12px;margin:4px}"
-    ".track{background:#eee;height:12px}.bar{background:#467;height:12px}"
-)
-
+# Entries shown of each list. A display limit only: the results themselves are whole.
+SHOWN = {"findings": 60, "columns": 150, "pairs": 80, "groups": 40, "odd_rows": 40, "ranges": 40, "risks": 40, "charts": 80, "models": 40}
 
-def _text(name: str) -> Column:
-    return html_text(F.coalesce(F.col(name).cast("string"), F.lit("")))
+STYLE = """
+:root { color-scheme: light dark; }
+body { font: 15px/1.5 system-ui, sans-serif; max-width: 72rem; margin: 2rem auto; padding: 0 1rem; }
+dl { display: flex; flex-wrap: wrap; gap: 1.5rem; } dt { opacity: .7; } dd { margin: 0; font-size: 1.4rem; }
+li.high::marker { content: "!! "; } li.medium::marker { content: "!  "; } li.low::marker { content: "   "; }
+table { border-collapse: collapse; } td, th { padding: .2rem .8rem .2rem 0; text-align: left; vertical-align: top; }
+tr + tr { border-top: 1px solid #8884; } .more { font-style: italic; }
+"""
 
 
-def _decimals(name: str, digits: int) -> Column:
-    return fixed_decimals(F.col(name), digits)
+def shown(name: str, digits: int | None = None) -> Column:
+    c = F.col(name)
+    return html_text(F.coalesce(c.cast("string"), F.lit(""))) if digits is None else fixed_decimals(c, digits)
 
 
-def _row(cells: list[Column]) -> Column:
-    parts: list[Column] = [F.lit("<tr>")]
-    for c in cells:
-        parts += [F.lit("<td>"), c, F.lit("</td>")]
-    return F.concat(*parts, F.lit("</tr>"))
+def joined(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-class _Page:
+class Page:
     def __init__(self, spark):
-        self.spark, self.parts, self.number = spark, [], 0
+        self.spark, self.blocks = spark, []
 
-    def lines(self, *lines: str) -> None:
-        self._add(local_rows(self.spark, [(i, t) for i, t in enumerate(lines)], "rank int, line string"))
+    def add(self, lines: DataFrame) -> None:
+        self.blocks.append(lines.select(F.lit(len(self.blocks)).alias("section"), F.col("rank").cast("bigint").alias("rank"), "line"))
 
-    def rows(self, source: DataFrame, rank: str, line: Column) -> None:
-        self._add(source.select(F.col(rank).cast("int").alias("rank"), line.alias("line")))
+    def say(self, *lines: str) -> None:
+        self.add(local_rows(self.spark, list(enumerate(lines)), "rank int, line string"))
 
-    def table(self, source: DataFrame, rank: str, heads: list[str], cells: list[Column]) -> None:
-        self.lines("<table><tr>" + "".join(f"<th>{h}</th>" for h in heads) + "</tr>")
-        self.rows(source, rank, _row(cells))
-        self.lines("</table>")
+    def entries(self, source: DataFrame, rank: str, line: Column, most: int, tag: str, head: list[str] | None = None) -> None:
+        """A list or table of the first entries, and how many there are besides."""
+        heads = "<tr>" + "".join(f"<th>{h}</th>" for h in head) + "</tr>" if head else ""
+        self.say(f"<{tag}>{heads}")
+        self.add(source.where(F.col(rank) <= most).select(F.col(rank).alias("rank"), line.alias("line")))
+        self.say(f"</{tag}>")
+        rest = source.agg((F.count(F.lit(1)) - most).alias("n")).where("n > 0")
+        self.add(rest.select(F.lit(0).alias("rank"), F.format_string("<p class='more'>and %d more</p>", "n").alias("line")))
 
-    def _add(self, df: DataFrame) -> None:
-        self.number += 1
-        self.parts.append(df.select(F.lit(self.number).alias("section"), "rank", "line"))
+    def cells(self, source: DataFrame, rank: str, columns: dict[str, Column], most: int) -> None:
+        line = joined("<tr>", *(joined("<td>", c, "</td>") for c in columns.values()), "</tr>")
+        self.entries(source, rank, line, most, "table", list(columns))
 
 
 def report_lines(result: Analysis) -> DataFrame:
     """(section, rank, line): every line of the page with its place."""
-    spark = result.profile.sparkSession
-    limit = REPORT_LIMITS
-    page = _Page(spark)
-
-    page.lines(
-        "<!doctype html><html lang='en'><head><meta charset='utf-8'><title>Table report</title>",
-        f"<style>{_STYLE}</style></head><body><h1>Table report</h1>",
-        "<h2>Summary</h2>",
-        f"<div class='kpi'><b>Rows</b><br>{result.rows}</div>",
-        f"<div class='kpi'><b>Columns</b><br>{result.columns}</div>",
-    )
-
-    def kpi(title: str, frame: DataFrame, tail: str = "") -> None:
-        counted = frame.agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.lit(0))
-        page.rows(counted, "rank", F.format_string(f"<div class='kpi'><b>{title}</b><br>%d{tail}</div>", "n"))
-
-    kpi("Strong pairs", result.pairs)
-    kpi("Groups", result.groups)
-    kpi("Findings", result.insights)
-    kpi("Simulation", result.simulation.summary, " columns")
-    kpi("Useful columns", result.selection.where(F.col("decision") == "use"), f" of {result.columns}")
-
-    page.lines("<h2>Column selection</h2>")
-    summary = result.selection_summary.withColumn("rank", F.lit(0))
-    page.rows(summary, "rank", F.concat(
-        F.lit("<p>"), _text("conclusion"), F.lit("</p><p><b>Used as a filter:</b> "),
-        F.when(F.col("applied"), "yes").otherwise("no"), F.lit(" | <b>Least score:</b> "),
-        _decimals("threshold", 2), F.lit("</p>")))
-    page.table(
-        result.selection.where(F.col("position") <= limit["selection"]), "position",
-        ["Decision", "Score", "Column", "Type", "% missing", "% distinct", "Max r", "Why", "Action"],
-        [_text("decision"), _decimals("score", 3), _text("column"), _text("analytic_type"),
-         _decimals("null_pct", 2), _decimals("distinct_pct", 3), _decimals("max_correlation", 3),
-         _text("reasons"), _text("actions")])
-
-    page.lines("<h2>Columns with most missing values</h2>")
-    gaps = result.profile.orderBy(F.desc("null_pct"), "ordinal").limit(limit["nulls"]).withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.desc("null_pct"), "ordinal")))
-    bar = F.concat(
-        F.lit("<div class='track'><div class='bar' style='width:"), _decimals("null_pct", 2), F.lit("%'></div></div>"))
-    page.table(gaps, "rank", ["Column", "% missing", ""], [_text("column"), _decimals("null_pct", 2), bar])
-
-    page.lines("<h2>Findings</h2>")
-    page.table(
-        result.insights.where(F.col("rank") <= limit["insights"]), "rank",
-        ["Severity", "Category", "Subject", "Message"],
-        [_text(n) for n in ("severity", "category", "subject", "message")])
-
-    page.lines("<h2>Strong pairs</h2>")
-    page.table(
-        result.pairs.where(F.col("rank") <= limit["pairs"]), "rank",
-        ["Column 1", "Column 2", "r", "Strength"],
-        [_text("column_1"), _text("column_2"), _decimals("r", 6), _text("strength")])
-
-    if result.clusters.applied:
-        _clusters(page, result, limit)
+    page = Page(result.profile.sparkSession)
+    page.say("<!doctype html>", "<html lang='en'>", "<meta charset='utf-8'>", "<title>What the table holds</title>", f"<style>{STYLE}</style>", "<h1>What the table holds</h1>", "<dl>")
+    page.say(f"<div><dt>rows</dt><dd>{result.rows}</dd></div>", f"<div><dt>columns</dt><dd>{result.columns}</dd></div>")
+    for title, frame in (
+        ("kept columns", result.selection.where("decision = 'use'")),
+        ("correlated pairs", result.pairs),
+        ("blocks", result.groups),
+        ("odd rows", result.clusters.odd_rows),
+        ("simulated columns", result.simulation.summary),
+    ):
+        page.add(frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("rank"), F.format_string(f"<div><dt>{title}</dt><dd>%d</dd></div>", "n").alias("line")))
+    page.say("</dl>", "<h2>Needs attention</h2>")
+    finding = joined("<li class='", shown("severity"), "'><b>", shown("subject"), "</b> ", shown("message"), " <small>", shown("category"), "</small></li>")
+    page.entries(result.insights, "rank", finding, SHOWN["findings"], "ul")
+    _columns(page, result)
+    _relations(page, result)
     if result.simulation.applied:
-        _simulation(page, result, limit)
-
-    page.lines("<h2>Chart advice</h2>")
-    page.table(
-        result.advice.where(F.col("rank") <= limit["advice"]), "rank",
-        ["Priority", "Chart", "X", "Y", "Why"],
-        [_text(n) for n in ("priority", "chart", "column_x", "column_y", "reason")])
-    page.lines("<h2>Usefulness for models</h2>")
-    page.table(
-        result.ml.where(F.col("rank") <= limit["ml"]), "rank",
-        ["Column", "Type", "Score", "Advice", "Detail"],
-        [_text("column"), _text("type"), _decimals("score", 3), _text("advice"), _text("detail")])
-    page.lines("</body></html>")
-    return reduce(DataFrame.unionByName, page.parts)
-
-
-def _clusters(page: _Page, result: Analysis, limit: dict) -> None:
-    page.lines("<h2>Clusters and odd rows</h2>")
-    summary = result.clusters.summary.withColumn("rank", F.lit(0))
-    page.rows(summary, "rank", F.concat(
-        F.lit("<p>"), _text("conclusion"), F.lit("</p><p><b>Columns used:</b> "),
-        html_text(F.array_join("features", ", ")), F.lit("</p>")))
-    page.table(
-        result.clusters.clusters, "rank", ["Cluster", "Rows", "%", "Mean distance", "Reading"],
-        [whole_number(F.col("cluster")), whole_number(F.col("size")), _decimals("pct", 2),
-         _decimals("mean_distance", 4), _text("reading")])
+        _ranges(page, result)
+    page.say("<h2>Next steps</h2>")
+    chart = joined("<li>", shown("chart"), " of ", shown("column_x"), F.when(F.col("column_y") != "", joined(" against ", shown("column_y"))).otherwise(""), ": ", shown("reason"), "</li>")
+    page.entries(result.advice, "rank", chart, SHOWN["charts"], "ol")
+    model = joined("<li>", shown("column"), " ", shown("score", 3), " (", shown("type"), ", ", shown("advice"), "): ", shown("detail"), "</li>")
+    page.entries(result.ml, "rank", model, SHOWN["models"], "ol")
+    page.say("</html>")
+    return reduce(DataFrame.unionByName, page.blocks)
+
+
+def _columns(page: Page, result: Analysis) -> None:
+    page.say("<h2>Columns</h2>")
+    page.add(result.selection_summary.select(F.lit(0).alias("rank"), joined("<p>", shown("conclusion"), " A score of ", shown("threshold", 2), " keeps a column", F.when(F.col("applied"), "; later steps use kept and doubtful columns only.").otherwise("; later steps use all."), "</p>").alias("line")))
+    gap = joined("<meter max='100' value='", shown("null_pct", 2), "'></meter> ", shown("null_pct", 2))
+    page.cells(
+        result.selection, "position",
+        {
+            "column": joined("<b>", shown("column"), "</b> ", shown("analytic_type")),
+            "verdict": joined(shown("decision"), " ", shown("score", 3)),
+            "blank, %": gap,
+            "distinct, %": shown("distinct_pct", 3),
+            "strongest partner": joined(shown("correlated_with"), " ", shown("max_correlation", 3)),
+            "because": shown("reasons"),
+            "so": shown("actions"),
+        },
+        SHOWN["columns"],
+    )
+
+
+def _relations(page: Page, result: Analysis) -> None:
+    page.say("<h2>What hangs together</h2>")
+    pair = joined("<li>", shown("column_1"), " and ", shown("column_2"), ": r ", shown("r", 6), ", ", shown("strength"), "</li>")
+    page.entries(result.pairs, "rank", pair, SHOWN["pairs"], "ol")
+    block = joined("<li>", html_text(F.array_join("columns", ", ")), ": mean |r| ", shown("mean_abs_r", 4), "</li>")
+    page.entries(result.groups, "group", block, SHOWN["groups"], "ul")
+    if not result.clusters.applied:
+        return
+    page.add(result.clusters.summary.select(F.lit(0).alias("rank"), joined("<p>", shown("conclusion"), " Measured on ", html_text(F.array_join("features", ", ")), ".</p>").alias("line")))
+    segment = joined("<li>segment ", whole_number(F.col("cluster")), ": ", whole_number(F.col("size")), " rows (", shown("pct", 2), "%), mean distance ", shown("mean_distance", 4), ", ", shown("reading"), "</li>")
+    page.entries(result.clusters.clusters, "rank", segment, 1000, "ul")
     odd = result.clusters.odd_rows
     fixed = ("rank", "cluster", "distance", "z_score", "severity", "reason", "explanation")
     keys = [n for n in odd.columns if n not in fixed]
-    shown = odd.where(F.col("rank") <= limit["odd_rows"]).withColumn(
-        "_key", F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys])))
-    page.table(
-        shown, "rank", ["#", "Row", "Cluster", "Distance", "z", "Severity", "Explanation"],
-        [whole_number(F.col("rank")), _text("_key"), whole_number(F.col("cluster")),
-         _decimals("distance", 4), _decimals("z_score", 2), _text("severity"), _text("explanation")])
-
-
-def _simulation(page: _Page, result: Analysis, limit: dict) -> None:
-    page.lines("<h2>Simulated scenarios</h2>")
-    conclusion = result.simulation.conclusion.withColumn("rank", F.lit(0))
-    page.rows(conclusion, "rank", F.concat(
-        F.lit("<p>"), _text("conclusion"), F.lit("</p><p><b>Batch:</b> "), whole_number(F.col("batch")), F.lit("</p>")))
-    means = ["hist_mean", "sim_mean_p5", "sim_mean_p50", "sim_mean_p95"]
-    totals = ["sim_total_p5", "sim_total_p50", "sim_total_p95"]
-    page.table(
-        result.simulation.summary.where(F.col("position") <= limit["simulation"]), "position",
-        ["Column", "Mean", "Mean P5", "Mean P50", "Mean P95", "Total P5", "Total P50", "Total P95", "Reading"],
-        [_text("column"), *[_decimals(n, 4) for n in means], *[_decimals(n, 2) for n in totals], _text("reading")])
-    page.table(
-        result.simulation.risks.where(F.col("rank") <= limit["risks"]), "rank",
-        ["Severity", "Column", "Indicator", "Value", "Reading"],
-        [_text("severity"), _text("column"), _text("indicator"), _decimals("value", 4), _text("reading")])
+    row = html_text(F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]))) if keys else F.lit("")
+    far = joined("<li class='", shown("severity"), "'>", row, " segment ", whole_number(F.col("cluster")), ", ", shown("reason"), ": ", shown("explanation"), "</li>")
+    page.entries(odd, "rank", far, SHOWN["odd_rows"], "ul")
+
+
+def _ranges(page: Page, result: Analysis) -> None:
+    page.say("<h2>Simulated ranges</h2>")
+    page.add(result.simulation.conclusion.select(F.lit(0).alias("rank"), joined("<p>", shown("conclusion"), " ", whole_number(F.col("simulations")), " batches of ", whole_number(F.col("batch")), " values.</p>").alias("line")))
+    span = lambda name, digits: joined(shown(f"{name}_p5", digits), " .. <b>", shown(f"{name}_p50", digits), "</b> .. ", shown(f"{name}_p95", digits))
+    page.cells(
+        result.simulation.summary, "position",
+        {"column": shown("column"), "mean so far": shown("hist_mean", 4), "mean of a batch": span("sim_mean", 4), "total of a batch": span("sim_total", 2), "reading": shown("reading")},
+        SHOWN["ranges"],
+    )
+    risk = joined("<li class='", shown("severity"), "'>", shown("column"), ": ", shown("indicator"), " ", shown("value", 4), ", ", shown("reading"), "</li>")
+    page.entries(result.simulation.risks, "rank", risk, SHOWN["risks"], "ul")
 
 
 def html_report(result: Analysis) -> DataFrame:

@@ -26,6 +26,9 @@ def write_csv(df: DataFrame, path: str) -> None:
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        # cells keep the blanks they begin and end with
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
@@ -40,8 +43,8 @@ def _numbers(df: DataFrame, order: str | list[str], columns: list[tuple[str, int
     return df.orderBy(*keys).select(*out)
 
 
-def csv_tables(result: Analysis) -> dict[str, DataFrame]:
-    """File name to formatted table, one per result."""
+def csv_tables(result: Analysis, odd_rows: int | None = None) -> dict[str, DataFrame]:
+    """File name to formatted table, one per result; of the odd rows all, or so many of the farthest."""
     counts = ("distinct", "zeros", "negatives", "outliers_iqr", "outliers_z")
     profile = result.profile.withColumns({n: whole_number(F.col(n)) for n in counts})
     stats = [(n, 6) for n in ("mean", "q1", "median", "q3", "min", "max", "std", "iqr", "skewness", "kurtosis")]
@@ -52,6 +55,7 @@ def csv_tables(result: Analysis) -> dict[str, DataFrame]:
         "sim_mean_p5", "sim_mean_p50", "sim_mean_p95", "sim_total_p5", "sim_total_p50", "sim_total_p95")]
     groups = result.groups.withColumn("columns", F.array_join("columns", "; "))
     odd = result.clusters.odd_rows
+    odd = odd if odd_rows is None else odd.where(F.col("rank") <= odd_rows)
     return {
         "profile": _numbers(profile, "ordinal", [
             ("column", None), ("physical_type", None), ("analytic_type", None), ("rows", None),
@@ -99,8 +103,12 @@ def _printable(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns(shown) if shown else df
 
 
-def write_results(result: Analysis, folder: str) -> None:
-    """Twelve CSV tables and the HTML report."""
-    for name, table in csv_tables(result).items():
+# Odd rows in the one file that is written of them by default.
+WRITTEN_ODD_ROWS = 100_000
+
+
+def write_results(result: Analysis, folder: str, odd_rows: int | None = WRITTEN_ODD_ROWS) -> None:
+    """Twelve CSV tables, one file each, and the HTML report. The full table of odd rows is in ``result``."""
+    for name, table in csv_tables(result, odd_rows).items():
         write_csv(table, f"{folder}/{name}.csv")
     html_report(result).coalesce(1).write.mode("overwrite").text(f"{folder}/report.html")

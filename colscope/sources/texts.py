@@ -40,14 +40,33 @@ def stem_of(path: Column) -> Column:
     return F.when(name.rlike("^.+\\.[^.]*$"), F.regexp_replace(name, "\\.[^.]*$", "")).otherwise(name)
 
 
+def titled_texts(df: DataFrame, text: str, source: str | None = None, name: str | None = None) -> DataFrame:
+    """(document, text): titles are ``<stem of the source>.txt`` unless a name is given.
+
+    Documents of one title are told apart by a number, ``a.txt``, ``a (2).txt`` and so on, in the
+    order of their sources and texts.
+    """
+    title = col(name) if name else F.concat(stem_of(col(source)), F.lit(".txt"))
+    order = col(source) if source else F.lit("")
+    slim = df.select(F.coalesce(title, F.lit("untitled.txt")).alias("_title"), order.alias("_source"), F.md5(F.coalesce(col(text), F.lit(""))).alias("_tie"), col(text).alias("text"))
+    placed = running_index(slim, ["_source", "_tie"], group=["_title"], out="_nth")
+    number = F.format_string(" (%d)", F.col("_nth") + 1)
+    stem, end = F.regexp_extract("_title", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("_title", r"^(.*?)(\.[^./]*)?$", 2)
+    return placed.select(F.when(F.col("_nth") == 0, F.col("_title")).otherwise(F.concat(stem, number, end)).alias("document"), "text")
+
+
 def write_texts(
-    df: DataFrame, text: str, folder: str, source: str | None = None, name: str | None = None
+    df: DataFrame, text: str, folder: str, source: str | None = None, name: str | None = None, per_document: bool = False
 ) -> None:
-    """One text output per document, named ``<stem of the source>.txt`` unless a name is given."""
-    title = col(name) if name else F.concat(stem_of(col(source)), F.lit(".txt"))
-    df.select(title.alias("document"), col(text).alias("value")).write.mode("overwrite").partitionBy(
-        "document"
-    ).text(folder)
+    """Document texts under their titles, as Parquet rows (document, text) in as many files as there are tasks.
+
+    ``per_document`` writes a folder for each document instead, which suits small sets only.
+    """
+    titled = titled_texts(df, text, source, name)
+    if per_document:
+        titled.withColumnRenamed("text", "value").write.mode("overwrite").partitionBy("document").text(folder)
+    else:
+        titled.write.mode("overwrite").parquet(folder)
 
 
 def numbered_parts(
@@ -55,9 +74,7 @@ def numbered_parts(
 ) -> DataFrame:
     """Parts of each group in order, with their number; a part named like the merged output
     (in any letter case) is left out. Order columns should be unique within a group."""
-    kept = df
-    if name is not None and output_name is not None:
-        kept = df.where(F.coalesce(F.lower(col(name)) != output_name.lower(), F.lit(True)))
+    kept = df.where(is_part(name, output_name))
     columns = list(dict.fromkeys([group, *order, *([name] if name else []), body]))
     slim = kept.select(*[col(c) for c in columns]).withColumn(
         "_bytes", F.coalesce(F.octet_length(col(body)), F.lit(0)).cast("bigint") + len(SEPARATOR)
@@ -78,12 +95,13 @@ def merge_parts(
     """Ordered concatenation of the parts of each group.
 
     A group is cut into chunks of about ``chunk_bytes`` so that one group, however large, is never
-    gathered in one place; the chunks of a group follow each other by ``chunk``.
+    gathered in one place; the chunks of a group follow each other by ``chunk``. A group whose parts
+    are all left out has one empty chunk of 0 parts.
     """
     placed = numbered_parts(df, group, order, body, name, output_name)
     chunk = F.expr(f"_offset div {chunk_bytes}")
     part = F.struct(F.col("_offset").alias("at"), F.coalesce(col(body), F.lit("")).alias("body"))
-    return (
+    merged = (
         placed.groupBy(col(group), chunk.alias("chunk"))
         # Bounded: the parts of one chunk hold chunk_bytes together, the last one aside.
         .agg(F.count(F.lit(1)).alias("parts"), F.array_sort(F.collect_list(part)).alias("_parts"))
@@ -92,6 +110,19 @@ def merge_parts(
             F.array_join(F.transform("_parts", lambda p: p["body"]), SEPARATOR).alias("merged"),
         )
     )
+    if name is None or output_name is None:
+        return merged
+    without = df.groupBy(col(group)).agg(F.max(is_part(name, output_name).cast("int")).alias("_any")).where("_any = 0")
+    return merged.unionByName(
+        without.select(col(group), F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("parts"), F.lit("").alias("merged"))
+    )
+
+
+def is_part(name: str | None, output_name: str | None) -> Column:
+    """Whether a row is a part to merge, not an earlier output (in any letter case)."""
+    if name is None or output_name is None:
+        return F.lit(True)
+    return F.coalesce(F.lower(col(name)) != output_name.lower(), F.lit(True))
 
 
 def part_sizes(df: DataFrame, group: str, part: list[str], body: str) -> DataFrame:
@@ -105,21 +136,22 @@ def _octets(body: str) -> str:
     return f"coalesce(octet_length(`{body.replace('`', '``')}`), 0)"
 
 
-def merge_size_report(df: DataFrame, group: str, body: str) -> DataFrame:
-    """Per group and in total (group null): parts, bytes of the parts and of the merged text, KB.
+def merge_size_report(df: DataFrame, group: str, body: str, name: str | None = None, output_name: str | None = None) -> DataFrame:
+    """Per group and in total (``is_total``): parts, bytes of the parts and of the merged text, KB.
 
-    KB are whole and of the summed bytes, not a sum of rounded KB. Null groups are not merged and
-    are left to the total row's name, so they must not occur.
+    Counts what ``merge_parts`` merges with the same ``name`` and ``output_name``; groups without
+    parts are listed with 0. KB are whole and of the summed bytes, not a sum of rounded KB.
     """
-    size = F.expr(f"cast({_octets(body)} as bigint)")
-    per_group = df.groupBy(col(group)).agg(F.count(F.lit(1)).alias("parts"), F.sum(size).alias("bytes"))
-    merged = F.col("bytes") + (F.col("parts") - 1) * len(SEPARATOR)
+    part = is_part(name, output_name)
+    size = F.when(part, F.expr(f"cast({_octets(body)} as bigint)")).otherwise(0)
+    per_group = df.groupBy(col(group)).agg(F.count_if(part).alias("parts"), F.sum(size).alias("bytes"))
+    merged = F.col("bytes") + F.greatest(F.col("parts") - 1, F.lit(0)) * len(SEPARATOR)
     return (
         per_group.withColumn("merged_bytes", merged)
         .rollup(col(group))
-        .agg(F.sum("parts").alias("parts"), F.sum("bytes").alias("bytes"), F.sum("merged_bytes").alias("merged_bytes"))
+        .agg(F.sum("parts").alias("parts"), F.sum("bytes").alias("bytes"), F.sum("merged_bytes").alias("merged_bytes"), (F.grouping(col(group)) == 1).alias("is_total"))
         .select(
-            col(group), "parts", "bytes", F.expr("bytes div 1024").alias("kb"),
+            col(group), "is_total", "parts", "bytes", F.expr("bytes div 1024").alias("kb"),
             "merged_bytes", F.expr("merged_bytes div 1024").alias("merged_kb"),
         )
     )

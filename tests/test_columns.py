@@ -162,7 +162,6 @@ def test_scalar_functions(spark):
     assert value(spark, S.correlation_strength(F.lit(0.0))) == "very_low_none"
     ks = {29: 2, 59: 2, 60: 3, 299: 3, 300: 4, 2999: 4, 3000: 5, 20000: 6}
     assert {n: value(spark, S.cluster_count(F.lit(n))) for n in ks} == ks
-    assert value(spark, S.csv_field(F.lit('a"b'))) == '"a""b"' and value(spark, S.csv_field(F.lit("ab"))) == "ab"
     assert value(spark, S.html_text(F.lit("<&>'\""))) == "&lt;&amp;&gt;&#39;&quot;"
     assert value(spark, S.fixed_decimals(F.lit(NAN), 3)) == "" and value(spark, S.fixed_decimals(F.lit(1.5), 3)) == "1.500"
     assert value(spark, S.abbreviate(F.lit("abcdef"), 4)) == "abc…"

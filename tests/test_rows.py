@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colscope.operators import bootstrap, clustering, ordering
+from colscope.operators.distinct import exact_distinct
 from colscope.operators.profile import profile_columns
 
 
@@ -134,3 +135,63 @@ def test_bootstrap_columns(spark):
     assert [r["column"] for r in bootstrap.bootstrap_columns(p).collect()] == ["x"]
     assert [r["column"] for r in bootstrap.bootstrap_columns(p, "five").orderBy("rank").collect()] == ["five", "x"]
     assert not bootstrap.bootstrap(df.limit(20), profile_columns(df.limit(20))).applied
+
+
+@pytest.fixture
+def many_ranges(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_positions_survive_coalesce_and_union(spark, many_ranges):
+    df = spark.range(1000).withColumnRenamed("id", "k").repartition(7)
+    sample = ordering.systematic_sample(df, ["k"], 10)
+    expected = [(i * 100, i * 100, i) for i in range(10)]
+    show = lambda d: sorted((r["k"], r["position"], r["sample_position"]) for r in d.collect())
+    assert show(sample) == show(sample.coalesce(1)) == expected
+    assert show(sample.unionByName(sample)) == sorted(expected * 2)
+    other = spark.range(3).select(*[F.lit(-1).cast("bigint").alias(n) for n in sample.columns])
+    assert show(other.unionByName(sample)) == [(-1, -1, -1)] * 3 + expected
+    grouped = ordering.running_index(df.withColumn("g", F.col("k") % 3), ["k"], group=["g"], out="at").coalesce(2)
+    assert all(r["at"] == r["k"] // 3 for r in grouped.collect())
+
+
+def test_row_orders_with_nan_text_and_times(spark):
+    import datetime
+
+    day = datetime.datetime(2024, 3, 10, 2, 30)
+    rows = [(float("nan"), "x" * 100 + "b", day), (None, "a", day), (2.0, None, day + datetime.timedelta(hours=1)), (1.0, "x" * 100 + "a", None)]
+    df = spark.createDataFrame(rows, "d double, s string, t timestamp_ntz")
+    found = ordering.rows_at_positions(df, ["d"], [0, 1, 2, 3])
+    assert [found[i]["d"] for i in range(3)] == [None, 1.0, 2.0] and found[3]["d"] != found[3]["d"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = ordering.rows_at_positions(df, ["t", "s"], [0, 1, 2, 3])
+        assert [found[i]["t"] for i in (0, 3)] == [None, day + datetime.timedelta(hours=1)]
+        assert [found[i]["s"] for i in (1, 2)] == ["a", "x" * 100 + "b"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    nested = spark.createDataFrame([([1],)], "a array<int>")
+    with pytest.raises(ValueError):
+        ordering.rows_at_positions(nested, ["a"], [0])
+    assert ordering.rows_at_positions(nested, [], [0])[0]["a"] == [1]
+
+
+def test_nested_values_are_counted_by_value(spark):
+    df = spark.sql(
+        "select array(timestamp'2024-01-01 00:00:00.000001') a, struct(0.0D as x) s union all "
+        "select array(timestamp'2024-01-01 00:00:00.000002'), struct(-0.0D) union all select null, null"
+    )
+    assert exact_distinct(df, ["a", "s"]) == {"a": 2, "s": 1}
+
+
+def test_every_odd_row_is_kept(spark):
+    df = spark.range(30_000).selectExpr("id", "cast(hash(id) % 1000 as double) a", "cast(hash(id, 7) % 1000 as double) b")
+    found = clustering.cluster_rows(df, profile_columns(df), ["id"], ["a", "b"])
+    summary = found.summary.first()
+    assert summary["odd_rows"] == found.odd_rows.count() >= 1500 and isinstance(summary["converged"], bool)
+    ranks = [r["rank"] for r in found.odd_rows.orderBy("distance", ascending=False).collect()]
+    assert sorted(ranks) == list(range(1, len(ranks) + 1))

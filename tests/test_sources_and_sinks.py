@@ -23,9 +23,19 @@ def test_text_sizes(spark):
 
 def test_write_texts(spark, tmp_path):
     df = spark.createDataFrame([("in/a.b.pdf", "one\ntwo"), ("c", "x")], "src string, body string")
-    texts.write_texts(df, "body", str(tmp_path / "out"), source="src")
+    texts.write_texts(df, "body", str(tmp_path / "out"), source="src", per_document=True)
     got = {r["document"]: r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
     assert got == {"a.b.txt": "one\ntwo\n", "c.txt": "x\n"}
+    same = spark.createDataFrame([("y/a.pdf", "two"), ("x/a.pdf", "one"), ("z/a.pdf", None), ("b", "three")], "src string, body string")
+    texts.write_texts(same, "body", str(tmp_path / "rows"), source="src")
+    got = {r["document"]: r["text"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    assert got == {"a.txt": "one", "a (2).txt": "two", "a (3).txt": None, "b.txt": "three"}
+
+
+def test_csv_keeps_blanks(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([("  lead", "trail  "), ("a,b", 'q"')], "x string, y string"), str(tmp_path / "t.csv"))
+    (part,) = glob.glob(f"{tmp_path}/t.csv/part-*")
+    assert list(csv.reader(open(part, newline=""))) == [["x", "y"], ["  lead", "trail  "], ["a,b", 'q"']]
 
 
 def test_merge_parts(spark):
@@ -33,6 +43,10 @@ def test_merge_parts(spark):
     df = spark.createDataFrame(rows, "grp string, name string, body string")
     got = {r["grp"]: (r["parts"], r["merged"]) for r in texts.merge_parts(df, "grp", ["name"], "body", "name", "todo.pdf").collect()}
     assert got == {"g": (2, "a\nbb"), "h": (1, "")}
+    only = spark.createDataFrame([("k", "todo.pdf", "old"), (None, "1", "n")], "grp string, name string, body string")
+    assert {tuple(r) for r in texts.merge_parts(only, "grp", ["name"], "body", "name", "todo.pdf").collect()} == {("k", 0, 0, ""), (None, 0, 1, "n")}
+    sizes = texts.merge_size_report(only, "grp", "body", "name", "todo.pdf").collect()
+    assert {(r.grp, r.is_total, r.parts, r.merged_bytes) for r in sizes} == {("k", False, 0, 0), (None, False, 1, 1), (None, True, 1, 1)}
     small = texts.merge_parts(df, "grp", ["name"], "body", chunk_bytes=3).where("grp = 'g'").orderBy("chunk").collect()
     assert "\n".join(r["merged"] for r in small) == "a\nbb\nzz" and len(small) > 1
 
@@ -75,7 +89,7 @@ def test_whole_analysis(spark, tmp_path):
     assert len(tables["bootstrap_summary"][0]) == 18
     (page,) = glob.glob(f"{folder}/report.html/part-*")
     html = open(page, encoding="utf-8").read()
-    assert "a,&quot;&lt;b&gt;" in html and html.index("<h2>Summary") < html.index("<h2>Chart advice")
+    assert "a,&quot;&lt;b&gt;" in html and html.index("<h2>Needs attention") < html.index("<h2>Next steps")
     assert html.rstrip().endswith("</html>")
 
 
