@@ -405,6 +405,7 @@ t as (select * from m union all
 select conv_id, is_total, parts, bytes, bytes // 1024 kb, merged_bytes, merged_bytes // 1024 merged_kb from t""",
 }
 ORACLE["pearson_matrix_sparse"] = ORACLE["pearson_pairs_sparse"]
+ORACLE["sample_orders_written"] = ORACLE["sample_orders"]
 
 _FULL = " union all ".join(f"select '{n}' c, {n}::double v from src" for n in CLUSTER_NAMES)
 ORACLE["bootstrap_full_wide"] = f"""with {WIDE}, picked as (
@@ -439,3 +440,30 @@ select "position", "column", valid_values, {r6("hist_mean", "hist_std", "hist_mi
   "pct_above_p95", "pct_below_p5")},
   case when rr >= 1 then 'wide' when cv >= 0.75::double then 'volatile' when coalesce(oi, 0) > 0 then 'extremes'
        else 'stable' end reading from summary"""
+
+# Printed tables: numbers with a fixed count of decimals, blank where there is none.
+
+
+def _printed(name: str, digits: int) -> str:
+    # rounded first: the other engine rounds the shortest digits of a number, this one its exact value
+    return f"case when {name} is null or not isfinite({name}) then '' else printf('%.{digits}f', round(round({name}::double, 12), {digits})) end {name}"
+
+
+_STATS = ("mean", "q1", "median", "q3", '"min"', '"max"', "std", "iqr", "skewness", "kurtosis")
+_COUNTS = ("zeros", "negatives", "outliers_iqr", "outliers_z")
+ORACLE["csv_profile_lineitem"] = f"""with {LINEITEM} select "column", physical_type, analytic_type, "rows", non_null, nulls,
+  {_printed("null_pct", 4)}, coalesce("distinct"::varchar, '') "distinct", {_printed("distinct_pct", 6)},
+  {", ".join(_printed(n, 6) for n in _STATS)}, {", ".join(f"coalesce({n}::varchar, '') {n}" for n in _COUNTS)}, chart
+from profile"""
+
+_GAPS = " union all ".join(
+    f"select l_orderkey, {j} j, '{n}' \"name\", a.z_{n} z, abs(a.z_{n} - c.z_{n}) gap from a{MOST_ROUNDS} a join c{MOST_ROUNDS} c using (i)"
+    for j, n in enumerate(CLUSTER_NAMES)
+)
+ORACLE["odd_rows_explained_wide"] = f"""{CLUSTERED}, words as (
+  select l_orderkey, string_agg("name" || '=' || printf('%.2f', z) || 'σ', '; ' order by gap desc, j) explanation
+  from (select *, row_number() over (partition by l_orderkey order by gap desc, j) nr from ({_GAPS})) where nr <= 4 group by l_orderkey)
+select "rank", l_orderkey, cluster, {r6("distance", "z_score")}, severity,
+  printf('distance %.2f, ', distance) || case when severity = 'high' then 'beyond the 99th percentile or 3 deviations'
+    else 'beyond the 95th percentile or 2.5 deviations' end reason, explanation
+from odd join words using (l_orderkey)"""

@@ -339,6 +339,12 @@ def sample_orders(spark, sf):
     return ordering.systematic_sample(table(spark, sf, "orders"), ["o_orderkey"], 1000)
 
 
+@query
+def sample_orders_written(spark, sf):
+    """The same sample after it was written as one file."""
+    return materialize(sample_orders(spark, sf).coalesce(1))
+
+
 @query
 def sample_lineitem_copies(spark, sf):
     """A sample in an order full of ties and copies."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -127,37 +128,42 @@ def _carried_totals(ranged: DataFrame, weight: str | None, group: list[str]) ->
 def systematic_sample(df: DataFrame, order_by: list[str], max_rows: int, unique: bool = False) -> DataFrame:
     """Every ``ceil(n / max_rows)``-th row in the given order, starting with the first.
 
-    Adds ``position`` (in the whole table), ``sample_position`` and ``approx_row_number``. Exact
-    copies of a row are counted before they are sorted, so a heap of copies stays one record;
-    ``unique=True`` skips that when ``order_by`` is known to be unique.
+    Adds ``position`` (in the whole table), ``sample_position`` and ``approx_row_number``. Only the
+    order columns and a hash of the row are sorted; rows of equal order follow the hash, and exact
+    copies are counted before they are sorted, so a heap of copies stays one record. The at most
+    ``max_rows`` keys found are then looked up in the table. ``unique=True`` does without the hash
+    when ``order_by`` is known to be unique.
     """
+    keys = [f"_key{i}" for i in range(len(order_by) + (not unique))]
+    values = [col(n) for n in order_by] + ([] if unique else [row_hash(df)])
+    narrow = df.select(*[v.alias(k) for k, v in zip(keys, values)])
     if unique:
-        counted = df.withColumn("_copies", F.lit(1).cast("bigint"))
+        counted = narrow.withColumn("_copies", F.lit(1).cast("bigint"))
     else:
-        if any(holds_map(f.dataType) for f in df.schema.fields):
-            raise ValueError("rows holding maps cannot be compared; pass unique=True")
-        counted = df.groupBy(*[col(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+        counted = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     total = df.count()
     step = max(1, math.ceil(total / max_rows))
     kept = math.ceil(total / step)
-    rest = [n for n in df.columns if n not in order_by]
-    order = order_by + [n for n in rest if _orderable(df.schema[n].dataType)] if not unique else order_by
-    placed = running_index(counted, order, weight="_copies", out="_start")
+    placed = running_index(counted, keys, weight="_copies", out="_start")
     first = F.ceil(F.col("_start") / step).cast("bigint") * step
     end = F.col("_start") + F.col("_copies") - 1
     picks = F.when(first <= end, F.sequence(first, end, F.lit(step).cast("bigint")))
+    picked = cut_lineage(placed.select(*keys, F.explode(picks).alias("position")))
+    # at most max_rows keys, so both joins can send them to all tasks
+    wanted = F.broadcast(picked.select(*[F.col(k).alias(f"_w{k}") for k in keys]).distinct())
+    marked = df.select(F.struct(*[col(n) for n in df.columns]).alias("_row"), *[v.alias(k) for k, v in zip(keys, values)])
+    met = marked.join(wanted, _same(keys, "_w"), "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row"))
+    placed_rows = met.join(F.broadcast(picked.select("position", *[F.col(k).alias(f"_p{k}") for k in keys])), _same(keys, "_p"))
     factor = math.ceil(total / kept) if kept else 1
-    return placed.select(
-        *[col(n) for n in df.columns], F.explode(picks).alias("position")
-    ).select(
+    return placed_rows.select("_row.*", "position").select(
         "*",
         F.expr(f"position div {step}").alias("sample_position"),
         F.expr(f"(position div {step}) * {factor} + 1").alias("approx_row_number"),
     )
 
 
-def _orderable(data_type: T.DataType) -> bool:
-    return not holds_map(data_type)
+def _same(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -195,3 +195,11 @@ def test_every_odd_row_is_kept(spark):
     assert summary["odd_rows"] == found.odd_rows.count() >= 1500 and isinstance(summary["converged"], bool)
     ranks = [r["rank"] for r in found.odd_rows.orderBy("distance", ascending=False).collect()]
     assert sorted(ranks) == list(range(1, len(ranks) + 1))
+
+
+def test_sample_sorts_keys_only(spark):
+    df = spark.range(500).selectExpr("id % 50 k", "repeat('long text ', 20) body", "id % 2 = 0 even", "map('a', id % 3) m")
+    got = ordering.systematic_sample(df, ["k"], 20)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 20 and [r["k"] for r in got.orderBy("position").collect()] == [i * 25 // 10 for i in range(20)]
+    assert "RepartitionByExpression" not in plan and "LeftSemi" in plan
