@@ -77,6 +77,26 @@ with cut as (
 select doc_id, count(*) n_lines, count(*) filter (where keeper is not null and doc_id <> keeper) n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where keeper is null or doc_id = keeper), '')) kept_sha256
 from keyed left join common using (k) group by doc_id""",
+    "op4_ngram_jaccard": rf"""
+with recursive cut as (
+    select doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end s
+    from cut
+), shingles as (
+    select doc_id, len(s) n, unnest(s) shingle from sets
+), links as (
+    select a.doc_id x, b.doc_id y from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), ends as (
+    select x, y from links union select y, x from links
+), reach(doc_id, other) as (
+    select x, x from ends union select r.doc_id, e.y from reach r join ends e on e.x = r.other
+), lowest as (
+    select doc_id, min(other) component_id from reach group by doc_id
+)
+select doc_id, len(s)::bigint n_shingles, coalesce(component_id, doc_id) component_id from sets left join lowest using (doc_id)""",
     "op8_chat_formatting": f"""
 with turns as (
     select distinct conv_id, turn, coalesce(role, '') "role", coalesce(text, '') text from conversations where conv_id is not null
