@@ -116,29 +116,36 @@ def utf8(column: str = "text"):
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the ends of ``links`` (a, b): the smallest node reachable by links.
 
-    Each round a node takes the smallest label around it and then that label's own label. Joins are
-    plain equi-joins of narrow rows, which adaptive execution splits at a hot node; labels are
-    aggregated before they are shuffled. A node that is null is no node.
+    Every node hooks to its smallest smaller neighbour, labels jump to the roots, and links between
+    roots that are still apart go into the next round; links within a component are gone by then.
+    Joins are plain equi-joins of narrow rows, which adaptive execution splits at a hot node, and
+    labels are aggregated before they are shuffled. A node that is null is no node.
     """
-    spark = links.sparkSession
-    frames, rounds = Frames(spark), Frames(spark)
+    frames = Frames(links.sparkSession)
+    c = F.col
     links = links.where("a is not null and b is not null and a <> b")
-    ends = frames.keep(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = rounds.keep(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
+    edges = frames.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    placed = None
     while True:
-        near = (
-            ends.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        lowered = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        above = labels.select(F.col("node").alias("low"), F.col("component").alias("above"))
-        stepped = rounds.keep(
-            lowered.join(above, "low").select("node", F.least("low", "above").alias("component"), (F.least("low", "above") != F.col("old")).alias("moved"))
-        )
-        moved = stepped.where("moved").limit(1).count()
-        rounds.release(keep_last=1)
-        labels = stepped.select("node", "component")
-        if not moved:
-            frames.release()
-            return labels
+        labels = frames.keep(edges.groupBy(c("b").alias("node")).agg(F.min("a").alias("component")))
+        while True:
+            above = labels.select(c("node").alias("component"), c("component").alias("above"))
+            jumped = frames.keep(labels.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"), c("above").isNotNull().alias("moved")))
+            labels = jumped.select("node", "component")
+            if jumped.where("moved").limit(1).count() == 0:
+                break
+        for end in "ab":
+            root = labels.select(c("node").alias(end), c("component").alias("root"))
+            edges = edges.join(root, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        edges = frames.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if placed is not None:
+            further = labels.select(c("node").alias("component"), c("component").alias("above"))
+            moved = placed.join(further, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+            labels = moved.union(labels)
+        placed = frames.keep(labels)
+        if edges.limit(1).count() == 0:
+            break
+    roots = placed.select("component").distinct().select(c("component").alias("node"), "component")
+    done = frames.keep(placed.union(roots))
+    frames.release(keep_last=1)
+    return done

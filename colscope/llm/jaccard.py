@@ -328,7 +328,8 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     counts = frames.keep(counts.select("token", "n_entries"))
     further = frames.keep(verified(documents, cross_pairs(frames.keep(index_blocks(entries, counts, rule)), rule), rule))
 
-    links = copies.select("a", "b").union(similar.select("a", "b")).union(further.select("a", "b"))
+    # of the similar sets each is tied to its component once
+    links = copies.select("a", "b").union(taken.select(F.col("component").alias("a"), F.col("node").alias("b"))).union(further.select("a", "b"))
     labels = components(links).withColumnRenamed("node", "doc_id")
     done = frames.keep(
         signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
