@@ -169,13 +169,10 @@ def attributed_by_hand(text, rule):
     for line in text.split("\n"):
         spans.append((at, at + len(line) + 1))
         at += len(line) + 1
-    whole = text.encode()
     counts, byte = Counter(), 0
     for i in CODER.encode_ordinary(text):
         size = len(CODER.decode_single_token_bytes(i))
-        first = len(whole[: byte + 1].decode(errors="ignore")) if (whole[byte] & 0xC0) != 0xC0 and whole[byte] < 0x80 else None
         points = sorted({p for p in range(len(text)) if len(text[:p].encode()) < byte + size and len(text[: p + 1].encode()) > byte})
-        del first
         held = Counter(next(s for s, (a, b) in enumerate(spans) if a <= p < b) for p in points)
         best = {"first": min(held), "last": max(held), "most": min(held, key=lambda s: (-held[s], s))}[rule]
         counts[best] += 1
