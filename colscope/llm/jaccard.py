@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Frames, components, in_batches, utf8
@@ -245,6 +245,9 @@ def index_blocks(entries: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame
     list is cut by component and, within one, by id.
     """
     listed = entries.join(counts.select("token", "n_entries"), "token")
+    # of the shingles before this one only those in the index can be shared with another component
+    before = Window.partitionBy("doc_id", "n", "last").orderBy("pos")
+    listed = listed.withColumn("seen", F.row_number().over(before) - 1)
     size_class = F.floor(F.log("n") / math.log(rule.den / rule.num)).alias("size_class")
     width = F.greatest(F.lit(1), F.ceil(F.col("n") * (1 - rule.num / rule.den) / 2))
     return (
@@ -254,12 +257,12 @@ def index_blocks(entries: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame
             F.floor(F.col("pos") / width).alias("place"),
             F.pmod(F.xxhash64("component"), F.ceil(F.col("n_entries") / BLOCK_COMPONENTS)).alias("part"),
             F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_entries") / BLOCK_ENTRIES)).alias("salt"),
-            F.struct("doc_id", "n", "pos", "last", "component").alias("entry"),
+            F.struct("doc_id", "n", "pos", "seen", "last", "component").alias("entry"),
         )
         .groupBy("token", "size_class", "place", "part", "salt")
         .agg(
             F.collect_list("entry").alias("entries"),
-            *(f(F.col(f"entry.{c}")).alias(f"{name}_{c}") for c in ("n", "pos", "component") for name, f in (("min", F.min), ("max", F.max))),
+            *(f(F.col(f"entry.{c}")).alias(f"{name}_{c}") for c in ("n", "pos", "seen", "component") for name, f in (("min", F.min), ("max", F.max))),
         )
     )
 
@@ -271,13 +274,13 @@ def cross_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
     c = F.col
     order_x, order_y = F.struct(*(c(f"x.{k}") for k in number)), F.struct(*(c(f"y.{k}") for k in number))
     sizes = (F.lit(rule.den) * c("x.max_n") >= F.lit(rule.num) * c("y.min_n")) & (F.lit(rule.den) * c("y.max_n") >= F.lit(rule.num) * c("x.min_n"))
-    places = F.least("x.max_pos", "y.max_pos") + F.least(c("x.max_n") - c("x.min_pos"), c("y.max_n") - c("y.min_pos")) >= rule.least_common(c("x.min_n"), c("y.min_n"))
+    places = F.least("x.max_seen", "y.max_seen") + F.least(c("x.max_n") - c("x.min_pos"), c("y.max_n") - c("y.min_pos")) >= rule.least_common(c("x.min_n"), c("y.min_n"))
     others = ~((c("x.min_component") == c("x.max_component")) & (c("y.min_component") == c("y.max_component")) & (c("x.min_component") == c("y.min_component")))
     met = x.join(y, (c("x.token") == c("y.token")) & (order_x <= order_y) & sizes & places & others)
     same = order_x == order_y
 
     def fits(p: Column, q: Column) -> Column:
-        room = F.least(p["pos"], q["pos"]) + F.least(p["n"] - p["pos"], q["n"] - q["pos"])
+        room = F.least(p["seen"], q["seen"]) + F.least(p["n"] - p["pos"], q["n"] - q["pos"])
         return (p["component"] != q["component"]) & rule.sizes_fit(p["n"], q["n"]) & (room >= rule.least_common(p["n"], q["n"])) & (~same | (p["doc_id"] < q["doc_id"]))
 
     found = F.flatten(F.transform("x.entries", lambda p: F.transform(F.filter("y.entries", lambda q: fits(p, q)), lambda q: F.struct(p.alias("p"), q.alias("q")))))
