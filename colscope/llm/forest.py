@@ -22,6 +22,11 @@ LEAF = 256
 LEAST_COSINE = 0.93
 # A node that this many splits have not brought down to a leaf is compared in blocks instead.
 MOST_SPLITS = 48
+# Points of a label that are looked through together for dense groups, sign bits that deal a label
+# into such cells, and bytes of group centres that tasks hold at a time.
+CELL = 1024
+MOST_BITS = 30
+CENTRE_BYTES = 8 << 20
 SEED = 11
 
 
@@ -72,6 +77,95 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return in_batches(rows, f"vec_id {id_type}, label string, size int, digest binary, vector array<double>, at array<double>", step)
 
 
+def unit_rows(vectors) -> np.ndarray:
+    x = np.stack(list(vectors)).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def centres(points: DataFrame, leaf: int, least: float, frames: Frames) -> DataFrame:
+    """(label, size, point, vector): points that more than half a leaf of points of their label link to.
+
+    A label is dealt into cells by the signs of projections, so that a group of any share of it
+    fills a good part of some cell; a cell that is still too large is sampled. Every centre stands
+    for points that earlier ones of its cell leave.
+    """
+    key, cell = ["label", "size"], ["label", "size", "cell"]
+    totals = frames.keep(points.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf))
+    bits = F.ceil(F.log2(F.col("n") / CELL))
+    number = sum((F.when((F.lit(i) < bits) & (F.element_at("at", i + 1) >= 0), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(MOST_BITS)), F.lit(0))
+    placed = frames.keep(points.join(totals, key).select(*key, number.alias("cell"), "point", "vector"))
+    sizes = frames.keep(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > leaf / 2))
+    looked = placed.join(sizes, cell).where(F.pmod(F.xxhash64("point", F.lit(CELL)), F.col("held")) < CELL)
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        enough = max(leaf / 2 * len(part) / int(part["held"].iloc[0]), 3)
+        x = unit_rows(part["vector"])
+        near = x @ x.T >= least
+        counts, free, out = near.sum(axis=1), np.ones(len(x), dtype=bool), []
+        while counts[i := int(counts.argmax())] > enough:
+            out.append(i)
+            gone = near[i] & free
+            free &= ~gone
+            counts = counts - near[:, gone].sum(axis=1)
+        return part.iloc[out][[*key, "point", "vector"]]
+
+    return frames.keep(looked.groupBy(*cell).applyInPandas(pick, "label string, size int, point long, vector array<double>"))
+
+
+def dense_groups(points: DataFrame, leaf: int, least: float, frames: Frames) -> DataFrame | None:
+    """(point, code, members, core): for each centre all points within twice the link angle.
+
+    A point within the link angle of a centre is a core: whatever it links to is in the centre's
+    group, so that it needs no tree. The driver and the tasks hold ``CENTRE_BYTES`` of centres.
+    """
+    # what links to a core lies within twice the link angle of its centre
+    far = 2 * least * least - 1 - 1e-9 if least > 0 else -2.0
+    found: list[DataFrame] = []
+
+    def search(group: dict) -> None:
+        held = points.sparkSession.sparkContext.broadcast({k: (np.array([c for c, _ in v], dtype=np.int64), unit_rows(x for _, x in v)) for k, v in group.items()})
+
+        def step():
+            def work(part):
+                out = {"point": [], "code": [], "core": []}
+                ids, rows = np.array(part["point"], dtype=np.int64), {}
+                for i, k in enumerate(zip(part["label"], part["size"])):
+                    if k in held.value:
+                        rows.setdefault(k, []).append(i)
+                for k, mine in rows.items():
+                    codes, middle = held.value[k]
+                    many = max(1, (4 << 20) // len(codes))
+                    for start in range(0, len(mine), many):
+                        some = mine[start : start + many]
+                        cosines = unit_rows(part["vector"][i] for i in some) @ middle.T
+                        i, j = np.nonzero(cosines >= far)
+                        for c, v in (("point", ids[some][i]), ("code", codes[j]), ("core", cosines[i, j] >= least)):
+                            out[c].extend(v.tolist())
+                return out
+
+            return work
+
+        found.append(frames.keep(in_batches(points.select("point", "label", "size", "vector"), "point long, code long, core boolean", step)))
+
+    code = F.xxhash64("label", "size", F.lit("centre"), "point").alias("code")
+    group, total = {}, 0
+    for r in centres(points, leaf, least, frames).select("label", "size", code, "vector").toLocalIterator():
+        if total >= CENTRE_BYTES:
+            search(group)
+            group, total = {}, 0
+        group.setdefault((r["label"], r["size"]), []).append((r["code"], r["vector"]))
+        total += 8 * r["size"]
+    if group:
+        search(group)
+    if not found:
+        return None
+    places = found[0]
+    for more in found[1:]:
+        places = places.union(more)
+    sizes = frames.keep(places.groupBy("code").agg(F.count(F.lit(1)).alias("members")))
+    return frames.keep(places.join(sizes, "code").select("point", "code", "members", "core"))
+
+
 def leaves(points: DataFrame, leaf: int, spill: float, frames: Frames) -> DataFrame:
     """(vec_id, label, size, tree, node, members): every leaf that each point falls into.
 
@@ -162,9 +256,11 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, leaf: int =
     """Per vector: vec_id, n_links (other vectors linked directly), component_id, kept.
 
     Vectors link when their labels are equal and their cosine, in double precision, is at least
-    ``least``. Links are looked for within the leaves of all trees; a pair that no leaf holds
-    together is missed, a wrong one is never reported. Equal vectors are compared once. A leaf that
-    cannot be split is compared block by block in tasks of bounded size.
+    ``least``. Points in the midst of a dense group are compared with all that can link to them and
+    miss nothing. Links of the others are looked for within the leaves of all trees; a pair that no
+    leaf holds together is missed, a wrong one is never reported. Equal vectors are compared
+    once. Dense groups and leaves that cannot be split are compared block by block in tasks of
+    bounded size.
 
     Null labels or embeddings, null or non-finite components, zero or empty vectors: no links, a
     component of its own. A null vec_id has no links and a null component. Vectors of different
@@ -187,9 +283,16 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, leaf: int =
     point = F.xxhash64("label", "size", "digest").alias("point")
     points = points.select("*", point)
 
-    fallen = leaves(points.select(F.col("point").alias("vec_id"), "label", "size", "at"), leaf, spill, frames)
+    dense = dense_groups(points, leaf, least, frames)
+    sparse = points.select(F.col("point").alias("vec_id"), "label", "size", "at")
+    if dense is not None:
+        sparse = sparse.join(dense.where("core").select(F.col("point").alias("vec_id")).distinct(), "vec_id", "left_anti")
+    fallen = leaves(sparse, leaf, spill, frames)
     code = F.xxhash64("label", "size", "tree", "node")
-    fallen = frames.keep(fallen.select(F.col("vec_id").alias("point"), code.alias("code"), "members"))
+    fallen = fallen.select(F.col("vec_id").alias("point"), code.alias("code"), "members")
+    if dense is not None:
+        fallen = fallen.union(dense.select("point", "code", "members"))
+    fallen = frames.keep(fallen)
     blocks = F.ceil(F.col("members") / (1.25 * leaf)).cast("int")
     block = F.pmod(F.xxhash64("point", "code"), blocks).cast("int")
     sets = fallen.groupBy("point").agg(F.collect_set("code").alias("codes"), F.collect_list(F.struct("code", blocks.alias("blocks"), block.alias("block"))).alias("places"))

@@ -108,6 +108,26 @@ def test_forest_compares_unsplittable_leaves_in_blocks(spark, monkeypatch):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def near_by_hand(rows):
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([r[2] for r in rows])
+    a, b = np.nonzero(np.triu((x @ x.T >= forest.LEAST_COSINE) & (labels[:, None] == labels), 1))
+    return [(rows[i][0], rows[j][0]) for i, j in zip(a.tolist(), b.tolist())]
+
+
+def test_forest_keeps_dense_groups_whole(spark):
+    pick = np.random.default_rng(9)
+    center = pick.standard_normal(64)
+    rows = [(i, pick.standard_normal(64).tolist(), 0) for i in range(3000)]
+    rows += [(5000 + i, (center + 0.22 * pick.standard_normal(64)).tolist(), 0) for i in range(3000)]
+    found = forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = near_by_hand(rows)
+    degree, at = Counter(x for pair in links for x in pair), components_of({r[0] for r in rows}, links)
+    assert len(links) > 3_000_000
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (degree[i], c) for i, c in at.items()}
+
+
 def toxic_corpus(n=600):
     pick, rows, marks = random.Random(3), [], []
     for i in range(n):
