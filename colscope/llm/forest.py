@@ -49,7 +49,7 @@ def split_value(tree: int, depth: int) -> Column:
 def prepared(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, size, digest, vector, at) of the vectors that can link.
 
-    ``label`` as text; ``digest`` tells equal vectors; ``at`` holds a base projection per tree and direction.
+    ``label`` as text; ``digest`` tells equal directions; ``at`` holds a base projection per tree and direction.
     """
     id_type = vectors.schema["vec_id"].dataType.simpleString()
 
@@ -67,7 +67,8 @@ def prepared(vectors: DataFrame) -> DataFrame:
                     continue
                 if len(x) not in bases:
                     bases[len(x)] = np.concatenate([directions(t, len(x)) for t in range(TREES)])
-                for k, v in zip(out, (vec_id, label, len(x), xxhash.xxh3_128_digest(x.tobytes()), x, bases[len(x)] @ (x / norm))):
+                unit = x / norm + 0.0
+                for k, v in zip(out, (vec_id, label, len(x), xxhash.xxh3_128_digest(unit.tobytes()), x, bases[len(x)] @ unit)):
                     out[k].append(v)
             return out
 
@@ -170,7 +171,8 @@ def leaves(points: DataFrame, leaf: int, spill: float, frames: Frames) -> DataFr
     """(vec_id, label, size, tree, node, members): every leaf that each point falls into.
 
     All nodes of a depth split together: their quantiles are merged from the tasks' sketches, and
-    points near the median go to both sides. Nodes that are leaves step aside.
+    points near the median go to both sides. Nodes that are leaves step aside; a node without a gap
+    between its cuts cannot be split and is a leaf of any size.
     """
     slices = F.array(*(F.struct(F.lit(t).alias("tree"), F.slice("at", t * DIRECTIONS + 1, DIRECTIONS).alias("at")) for t in range(TREES)))
     key = ["label", "size", "tree", "node"]
@@ -181,14 +183,14 @@ def leaves(points: DataFrame, leaf: int, spill: float, frames: Frames) -> DataFr
         value = F.coalesce(*(F.when(F.col("tree") == t, split_value(t, depth)) for t in range(TREES)))
         cuts = state.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.percentile_approx(value, [0.5 - spill, 0.5 + spill], 2000).alias("cut"))
         placed = state.join(cuts, key)
-        small = (F.col("members") <= leaf) | F.lit(depth == MOST_SPLITS)
+        # without a gap between the cuts the upper side would get every point
+        whole = F.col("cut")[0] >= F.col("cut")[1]
+        small = (F.col("members") <= leaf) | whole | F.lit(depth == MOST_SPLITS)
         done.append(frames.keep(placed.where(small).select("vec_id", *key, "members")))
         large = placed.where(~small).withColumn("value", value)
-        # without a gap between the cuts the upper side would get every point
-        sides = F.when(F.col("cut")[0] < F.col("cut")[1], F.concat(F.when(F.col("value") <= F.col("cut")[1], F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(F.col("value") >= F.col("cut")[0], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
-        sides = F.coalesce(sides, F.array(F.pmod(F.xxhash64("vec_id", F.lit(depth)), F.lit(2)).cast("int")))
+        sides = F.concat(F.when(F.col("value") <= F.col("cut")[1], F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(F.col("value") >= F.col("cut")[0], F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
         state = large.select("vec_id", "label", "size", "tree", F.col("node"), "at", F.explode(sides).alias("side")).withColumn("node", (F.col("node") * 2 + F.col("side")).cast("decimal(38,0)")).drop("side")
-        if depth == MOST_SPLITS or cuts.where(F.col("members") > leaf).limit(1).count() == 0:
+        if depth == MOST_SPLITS or cuts.where((F.col("members") > leaf) & ~whole).limit(1).count() == 0:
             break
     out = done[0]
     for more in done[1:]:
@@ -258,7 +260,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, leaf: int =
     Vectors link when their labels are equal and their cosine, in double precision, is at least
     ``least``. Points in the midst of a dense group are compared with all that can link to them and
     miss nothing. Links of the others are looked for within the leaves of all trees; a pair that no
-    leaf holds together is missed, a wrong one is never reported. Equal vectors are compared
+    leaf holds together is missed, a wrong one is never reported. Equal directions are compared
     once. Dense groups and leaves that cannot be split are compared block by block in tasks of
     bounded size.
 

@@ -128,6 +128,17 @@ def test_forest_keeps_dense_groups_whole(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (degree[i], c) for i, c in at.items()}
 
 
+def test_forest_does_not_deal_out_ties(spark):
+    base = np.random.default_rng(4).standard_normal(64)
+    made = spark.createDataFrame([(i, (base * (1 + i / 7)).tolist(), 1) for i in range(700)], "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in forest.near_duplicates(made).collect()} == {(699, 0)}
+    points = spark.createDataFrame([(i, "1", 64, [1.0] * 72) for i in range(700)], "vec_id long, label string, size int, at array<double>")
+    frames = common.Frames(spark)
+    fallen = forest.leaves(points, forest.LEAF, forest.SPILL, frames).groupBy("tree", "node").count().collect()
+    assert [(r.node, r["count"]) for r in fallen] == [(1, 700)] * forest.TREES
+    frames.release()
+
+
 def toxic_corpus(n=600):
     pick, rows, marks = random.Random(3), [], []
     for i in range(n):
