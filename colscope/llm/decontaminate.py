@@ -197,36 +197,39 @@ def found_in(shard: Shard, words: list[str], ids: np.ndarray, start: int) -> Ite
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, text, answer, length, weights): an item's words with their BM25 impacts.
+    """(item_id, variant, text, answer, length, weights): an item's words with their BM25 impacts.
 
+    Each different text and answer of an item_id is an item of its own, told apart by ``variant``.
     Impacts are shares of the item's own score. Document frequencies, the number of items and
     their mean length are taken over all items.
     """
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
     id_type = items.schema["item_id"].dataType.simpleString()
-    rows = items.where("item_id is not null").groupBy("item_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), answer.alias("answer"))).alias("row")).select("item_id", "row.*")
+    key = ["item_id", "variant"]
+    rows = items.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text"), answer.alias("answer")).distinct()
+    rows = rows.withColumn("variant", F.sha2(F.to_json(F.struct("text", "answer")), 256))
 
     def step():
         def work(part):
-            out = {"item_id": [], "word": [], "tf": [], "length": []}
-            for item, text, answer in zip(part["item_id"], part["text"], part["answer"]):
+            out = {"item_id": [], "variant": [], "word": [], "tf": [], "length": []}
+            for item, variant, text, answer in zip(part["item_id"], part["variant"], part["text"], part["answer"]):
                 words = words_of(text) + words_of(answer or "")
                 for w in sorted(set(words)):
-                    for k, v in (("item_id", item), ("word", w), ("tf", words.count(w)), ("length", len(words))):
+                    for k, v in (("item_id", item), ("variant", variant), ("word", w), ("tf", words.count(w)), ("length", len(words))):
                         out[k].append(v)
             return out
 
         return work
 
-    terms = in_batches(rows, f"item_id {id_type}, word string, tf int, length int", step)
-    totals = terms.groupBy("item_id").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    terms = in_batches(rows, f"item_id {id_type}, variant string, word string, tf int, length int", step)
+    totals = terms.groupBy(*key).agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     n, mean = totals["n"], totals["mean"] or 1.0
     df = terms.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     scored = terms.join(df, "word").withColumn("impact", impact)
-    own = scored.groupBy("item_id").agg(F.max("length").alias("length"), F.sum("impact").alias("own"), F.sort_array(F.collect_list(F.struct("word", "impact"))).alias("weights"))
-    return rows.join(own, "item_id")
+    own = scored.groupBy(*key).agg(F.max("length").alias("length"), F.sum("impact").alias("own"), F.sort_array(F.collect_list(F.struct("word", "impact"))).alias("weights"))
+    return rows.join(own, key)
 
 
 def shards(items: DataFrame) -> Iterator[list[Shard]]:
@@ -235,7 +238,7 @@ def shards(items: DataFrame) -> Iterator[list[Shard]]:
     A shard takes items of one length class, in order, up to ``SHARD_BYTES`` of their text.
     """
     span = F.pow(2, F.ceil(F.log2(F.greatest("length", F.lit(LEAST_SPAN))))).cast("int").alias("span")
-    rows = item_terms(items).select("item_id", "text", "answer", "own", "weights", span).orderBy("span", "item_id")
+    rows = item_terms(items).select("item_id", "text", "answer", "own", "weights", span).orderBy("span", "item_id", "variant")
     ready: list[Shard] = []
     now, held, total = None, 0, 0
     for r in rows.toLocalIterator():
@@ -310,8 +313,8 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     document the best counts, ties to the first.
 
     Null or empty texts and items without words have no hits; rows without doc_id are searched and
-    keep their null; items without id are left out, of repeated item ids the largest text counts;
-    repeated document rows count once. Empty tables give no rows; other columns are not looked at.
+    keep their null; items without id are left out, of a repeated item id each
+    different text is looked for; repeated document rows count once. Empty tables give no rows; other columns are not looked at.
     """
     spark = documents.sparkSession
     found = None

@@ -67,6 +67,12 @@ def test_decontamination_in_several_passes(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(12)}
 
 
+def test_decontamination_looks_for_every_text_of_an_item_id(spark):
+    items = [(i % 4, prose(1800 + i, 25)) for i in range(12)]
+    found = decontaminate.contaminated(documents(spark, [(i, f"{prose(1900 + i, 40)} {t}") for i, (_, t) in enumerate(items)]), benchmark_items(spark, [*items, items[0]]))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i % 4) for i in range(12)]
+
+
 def vectors():
     pick = np.random.default_rng(5)
     rows, center = [], pick.standard_normal(16)
