@@ -313,6 +313,14 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     signed = frames.keep(signatures(documents, rule))
     whole = signed.where("n > 0 and doc_id is not null")
 
+    # rows of one doc_id with one set: a single one goes on, or their joins would pair each with each
+    repeated = frames.keep(whole.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
+    if repeated.limit(1).count():
+        columns = ["doc_id", "n", "digest", "bands", "prefix"]
+        single = whole.join(repeated, ["doc_id", "digest"], "left_anti").select(columns)
+        merged = whole.join(repeated, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(*(F.first(c).alias(c) for c in ("n", "bands", "prefix")))
+        whole = frames.keep(single.union(merged.select(columns)))
+
     # equal sets: one of them stands for all
     first = frames.keep(whole.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first"))
     copies = frames.keep(whole.select("doc_id", "digest").join(first, "digest").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "digest"))

@@ -99,6 +99,19 @@ def test_jaccard_finds_links_between_components(spark, monkeypatch, blocks):
     assert got(found, "doc_id", "n_shingles", "component_id") == jaccard_by_hand(rows)
 
 
+def test_jaccard_takes_repeated_rows_once(spark, monkeypatch):
+    most = []
+
+    def blocks(entries, *rest, made=jaccard.index_blocks):
+        most.append(max(r["count"] for r in entries.groupBy("doc_id", "token").count().collect()))
+        return made(entries, *rest)
+
+    monkeypatch.setattr(jaccard, "index_blocks", blocks)
+    rows = [(1, prose(21, 40))] * 30 + [(2, prose(22, 40)), (3, f"{prose(21, 40)} end"), (4, prose(22, 40))]
+    found = jaccard.jaccard_components(documents(spark, rows))
+    assert got(found, "doc_id", "n_shingles", "component_id") == jaccard_by_hand(rows) and most == [1]
+
+
 def test_jaccard_other_rules(spark):
     rows = [(i, f"{prose(7, 60)} {prose(300 + i, 3)}") for i in range(8)] + [(90, "x y z"), (91, "x y z"), (92, "X y  z")]
     rule = jaccard.Rule(words=5, num=80, den=100)
