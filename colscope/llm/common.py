@@ -60,7 +60,7 @@ def in_batches(
     """Rows of ``df`` through a Python step, a bounded slice of rows at a time.
 
     ``step()`` is called once per task and returns the function from columns to columns. Slices end
-    where the column ``text`` (bytes) has gathered ``BATCH_BYTES``; a text is never cut.
+    where the column ``text`` (bytes, or a number of bytes) has gathered ``BATCH_BYTES``; a text is never cut.
     """
     fields = T.StructType.fromDDL(schema)
 
@@ -98,7 +98,8 @@ def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
         yield batch
         return
     start, held = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.names.index(text))), 0).to_pylist()
+    column = batch.column(batch.schema.names.index(text))
+    sizes = pa.compute.fill_null(column if pa.types.is_integer(column.type) else pa.compute.binary_length(column), 0).to_pylist()
     for i, n in enumerate(sizes):
         if held and held + n > BATCH_BYTES:
             yield batch.slice(start, i - start)

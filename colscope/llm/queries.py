@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, chats, decontaminate, forest, jaccard, lines, notices, toxicity, warc
+from . import attribution, bpe, chats, decontaminate, fim, forest, jaccard, lines, notices, toxicity, warc
 from .common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,9 +56,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.with_sums(fim.fill_in_middle(read(spark, sf_dir, "documents"))).drop("size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_embedding_near_dedup, op3_line_dedup, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op7_token_counts, op8_chat_formatting, op9_warc, op10_byte_bpe)
+    for f in (op1_decontamination, op2_embedding_near_dedup, op3_line_dedup, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op7_token_counts, op8_chat_formatting, op9_warc, op10_byte_bpe, op11_fill_in_middle)
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,6 +115,23 @@ with turns as (
 select conv_id, (number - 1) // {chats.PART_TURNS} part, count(*) n_turns,
        string_agg('<|im_start|>' || "role" || chr(10) || text || '<|im_end|>' || chr(10), '' order by number) text
 from numbered join kept using (conv_id) group by conv_id, (number - 1) // {chats.PART_TURNS}""",
+    "op11_fill_in_middle": r"""
+with cut as (
+    select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(doc_id::varchar, '')) h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u from documents
+), drawn as (
+    select *, len(u) n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from cut
+), planned as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+           case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+                when h4 % 100 < 80 then 'spm' else 'psm' end form from drawn
+), parts as (
+    select *, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:n], '') s from planned
+)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+       sha256(t) restored_sha256
+from parts""",
     "op9_warc": """
 with payloads as (
     select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages
