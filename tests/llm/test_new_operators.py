@@ -1,14 +1,16 @@
 import hashlib
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import awkward_documents, documents, prose
 
-from colscope.llm import fim, queries
+from colscope.llm import fim, whiten
 
 UNITS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -79,3 +81,70 @@ def test_whole_frames_are_moved_unopened(spark):
     output = [bytes(x) for x in fim.rearrange(stored).first()["output"]]
     assert len(before - set(output)) <= 2
     assert zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(b"".join(output)).decode() == fim_by_hand(doc_id, text)[4]
+
+
+def embeddings(spark, rows):
+    made = [(i, v, 1, 0.5, "k") for i, v in rows]
+    return spark.createDataFrame(made, "vec_id long, embedding array<float>, label int, x double, i string").repartition(5)
+
+
+def whiten_by_hand(rows, wanted=8):
+    """vec_id to (deviation, whitened), shares; over the whole covariance, with exact sums."""
+    used = [(i, [math.floor(1024 * float(np.float32(c))) + 100000 for c in v]) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    n, x = len(used), np.array([v for _, v in used], dtype=object)
+    away = x * n - x.sum(axis=0)
+    centred = away.astype(float) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:wanted], vectors[:, ::-1][:, :wanted]
+    return used, (away * away).sum(axis=1), centred @ vectors / np.sqrt(values), values / (centred**2).sum() * n
+
+
+def check_whitening(spark, rows, **how):
+    found = whiten.whiten_embeddings(embeddings(spark, rows), **how).collect()
+    used, deviation, expected, shares = whiten_by_hand(rows)
+    k = expected.shape[1]
+    assert Counter((r.vec_id, r.component, r.n, r.deviation) for r in found) == Counter((i, c + 1, len(used), d) for (i, _), d in zip(used, deviation) for c in range(k))
+    by_place = {(r.vec_id, r.component): r.whitened for r in found if r.vec_id is not None}
+    mine = np.array([[by_place[i, c + 1] for c in range(k)] for i, _ in used if i is not None])
+    theirs = np.array([w for (i, _), w in zip(used, expected) if i is not None])
+    signs = np.sign((mine * theirs).sum(axis=0))
+    assert np.abs(mine - theirs * signs).max() < 1e-8
+    assert all(math.isclose(r.explained, shares[r.component - 1], rel_tol=1e-9) and r.identity_error < 1e-9 for r in found)
+
+
+def test_whitening_against_the_whole_covariance(spark):
+    pick = np.random.default_rng(3)
+    rows = [(i, (pick.standard_normal(48) * np.linspace(1, 0.7, 48) / 7).tolist()) for i in range(700)]
+    rows += [(700, None), (701, []), (702, [None] + [0.1] * 47), (703, [math.nan] * 48), (704, [math.inf] + [0.0] * 47), (705, [0.3] * 48), (5, rows[5][1]), (None, rows[6][1]), (None, rows[7][1]), (706, [0.1] * 7)]
+    check_whitening(spark, [r for r in rows if r[0] != 706], block=16)
+    assert 706 not in {r.vec_id for r in whiten.whole_vectors(embeddings(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("spread", [np.ones(40), np.r_[np.full(10, 1.0), np.full(30, 0.999)], np.r_[1000.0, np.linspace(1, 0.5, 39)]])
+def test_whitening_of_awkward_spectra(spark, spread):
+    pick = np.random.default_rng(4)
+    check_whitening(spark, [(i, (pick.standard_normal(40) * spread).tolist()) for i in range(900)], block=16)
+
+
+def test_whitening_of_few_dimensions_and_few_rows(spark):
+    pick = np.random.default_rng(5)
+    check_whitening(spark, [(i, pick.standard_normal(3).tolist()) for i in range(50)])
+    for rows in ([], [(1, [0.5, 0.25])], [(i, [0.5, 0.25]) for i in range(6)], [(1, None)]):
+        assert whiten.whiten_embeddings(embeddings(spark, rows)).count() == 0
+    line = [(i, [0.125 * i, 0.25 * i, 0.0]) for i in range(9)]
+    assert {r.component for r in whiten.whiten_embeddings(embeddings(spark, line)).collect()} == {1}
+
+
+def test_whitening_counts_beyond_64_bits(spark):
+    rows = [(i, [1e9 * (i % 7), 1e9 * (i % 5)]) for i in range(60)]
+    frame = whiten.whole_vectors(embeddings(spark, rows))
+    used, deviation, _, _ = whiten_by_hand(rows)
+    assert got(whiten.whitened(frame, whiten.fit(frame)), "vec_id", "deviation") == Counter((i, d) for (i, _), d in zip(used, deviation)) and max(deviation) > 1 << 63
+    assert {r.deviation for r in whiten.whiten_embeddings(embeddings(spark, rows)).collect()} <= {d if d < 1 << 63 else None for d in deviation}
+
+
+def test_whitening_certifies_with_few_passes(spark):
+    pick = np.random.default_rng(6)
+    frame = whiten.whole_vectors(embeddings(spark, [(i, (pick.standard_normal(64) / 8).tolist()) for i in range(2000)]))
+    model = whiten.fit(frame)
+    assert model.errors.max() <= 1e-9 and model.passes < 120
