@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, chats, decontaminate, fim, forest, jaccard, lines, notices, toxicity, warc, whiten
+from . import attribution, bpe, chats, decontaminate, fim, forest, jaccard, lines, notices, pii, toxicity, warc, whiten
 from .common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,13 +60,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.with_sums(fim.fill_in_middle(read(spark, sf_dir, "documents"))).drop("size")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digest(pii.find_personal_data(read(spark, sf_dir, "documents")))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten_embeddings(read(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_embedding_near_dedup, op3_line_dedup, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op7_token_counts, op8_chat_formatting, op9_warc, op10_byte_bpe, op11_fill_in_middle, op13_embedding_whitening)
+    for f in (op1_decontamination, op2_embedding_near_dedup, op3_line_dedup, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op7_token_counts, op8_chat_formatting, op9_warc, op10_byte_bpe, op11_fill_in_middle, op12_personal_data, op13_embedding_whitening)
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import awkward_documents, documents, prose
 
-from colscope.llm import fim, whiten
+from colscope.llm import fim, pii, whiten
 
 UNITS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -148,3 +148,115 @@ def test_whitening_certifies_with_few_passes(spark):
     frame = whiten.whole_vectors(embeddings(spark, [(i, (pick.standard_normal(64) / 8).tolist()) for i in range(2000)]))
     model = whiten.fit(frame)
     assert model.errors.max() <= 1e-9 and model.passes < 120
+
+
+def base_by_hand(text):
+    """The patterns as they are stated, one after the other."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    stated = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15),
+    ]
+    return sorted((m.start(), k, m.end(), name) for k, (name, pattern, holds) in enumerate(stated) for m in re.finditer(pattern, text) if holds(m.group()))
+
+
+PERSONAL = [
+    "a@b.c_x@d.e @x.y a@b a@b. .%+-@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.255 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 41111111111111111111", "+1 (017) 555-7713 +12 3 +4 9.30-1234567( ++49 30 1234567890",
+    "a.b@c.d@e.f 1.1.1.1@x.yz +1 4111 1111 1111 1111", "ünï@exämple.com x@y.z☃ 𝄞 9.9.9.9", "++1234567890123456 4111 1111  1111 1111 0000 0000 0000 00",
+]
+
+
+def test_personal_data_base_against_the_stated_patterns(spark):
+    rows = awkward_documents() + list(enumerate(PERSONAL, 300)) + [(300, PERSONAL[0]), (None, PERSONAL[1]), (320, f"{prose(1, 9000)} me@here.org {prose(2, 9000)} 10.0.0.1")]
+    found = pii.personal_data_digest(pii.find_personal_data(documents(spark, rows)))
+    expected = []
+    for i, text in rows:
+        base = base_by_hand(text or "")
+        listed = ",".join(f"{name}:{a}:{b}" for a, _, b, name in base)
+        expected.append((i, *(sum(name == k for *_, name in base) for k in pii.KINDS), sha(listed), listed))
+    assert got(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans") == Counter(expected)
+    assert pii.find_personal_data(documents(spark, [])).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1.9@+ -()%0☃４", max_size=40))
+def test_personal_data_base_on_any_text(text):
+    base, spans = FINDER.find(text)
+    assert base == [x[:3] for x in base_by_hand(text)] and set(base) <= set(spans)
+
+
+FINDER = pii.Finder()
+IDENTIFIERS = [("email", "john.doe@mail.example.com"), ("email", "x_1@host.org"), ("ip", "192.168.1.77"), ("card", "4111 1111 1111 1111"), ("phone", "+44 20 7946 0958")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(IDENTIFIERS), st.data())
+def test_disguised_identifiers_are_found_where_they_stand(identifier, data):
+    kind, plain = identifier
+    at = data.draw(st.sampled_from(["@", " [at] ", "(at)", "{ At }", "＠", "[@]"]))
+    dot = data.draw(st.sampled_from([".", " [dot] ", "(DOT)", "．", "[.]"])) if kind in ("email", "ip") else "."
+    like = data.draw(st.booleans())
+    made = ""
+    for c in plain:
+        others = [k for k, v in pii.LOOK_ALIKES.items() if k == c] if c.isalpha() else []
+        if c == "@":
+            made += at
+        elif c == ".":
+            made += dot
+        elif like and others and data.draw(st.booleans()):
+            made += pii.LOOK_ALIKES[c][0]
+        elif like and c.isdigit() and data.draw(st.booleans()):
+            made += chr(ord("０") + int(c))
+        else:
+            made += c + ("​" if like and data.draw(st.integers(0, 9)) == 0 else "")
+    made = made.rstrip("​")
+    before, after = "said on oneday, ", " and went"
+    base, spans = FINDER.find(before + made + after)
+    found = (len(before), pii.KINDS.index(kind), len(before) + len(made))
+    assert found in spans
+    assert all(found[0] <= a and b <= found[2] for a, _, b in spans)
+
+
+@pytest.mark.parametrize("kind, plain", [("ip", "10.20.30.140"), ("card", "4111111111111111"), ("phone", "+442079460958")])
+@pytest.mark.parametrize("words", pii.DIGIT_WORDS)
+def test_spelled_numbers(kind, plain, words):
+    names = {str(i): w for i, w in enumerate(words.split())} | {".": "dot", "+": "plus"}
+    made = " ".join(names[c] for c in plain)
+    for text in (made, made.upper() if "ß" not in made else made):
+        assert FINDER.find(f"☃ it is {text}, yes")[1] == [(8, pii.KINDS.index(kind), 8 + len(text))]
+
+
+def test_clean_texts_have_no_spans():
+    for text in ("look at example.com", "we are at polka dot party", "one two three", "room at one dot two", "call one eight hundred at noon", "+1 (017) 555-7713 – 24 hours one of us", "at dot", "dot com", "[at][dot]", "x [at] y", "İ at a dot", "null null null null", "f­ive"):
+        base, spans = FINDER.find(text)
+        assert spans == base == [x[:3] for x in base_by_hand(text)], text
+    assert FINDER.find("john at example dot co dot uk now")[1] == [(0, 0, 29)]
+    assert FINDER.find("a@b.co [dot] uk")[1] == [(0, 0, 6), (0, 0, 15)]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    started = time.time()
+    for unit in ("a", "1", "a@", "1.", "+1", "at ", "one ", " dot", "@.", "　", "1 ", "x at y dot ", "([{<", "​", "４.", "plus "):
+        FINDER.find(unit * (300_000 // len(unit)))
+    assert time.time() - started < 60
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", max_size=12), st.data())
+def test_spans_map_back_through_edits(text, data):
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(text)), max_size=6)))
+    edits = [(a, b, data.draw(st.sampled_from(["", "X", "YZ"]))) for a, b in zip(cuts[::2], cuts[1::2]) if a < b]
+    made = pii.Aligned(text, edits)
+    origin, at = [], 0
+    for a, b, out in [*edits, (len(text), len(text), "")]:
+        origin += [(i, i + 1) for i in range(at, a)] + [(a, b)] * len(out)
+        at = b
+    assert len(made.text) == len(origin)
+    for i in range(len(origin)):
+        for j in range(i + 1, len(origin) + 1):
+            assert made.span(i, j) == (origin[i][0], origin[j - 1][1])
