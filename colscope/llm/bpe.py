@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, utf8
 
-# Bounds of what a worker keeps: transitions, encoded pieces and pairs of tokens. Beyond them the
-# tables start afresh, which costs time and changes nothing.
+# Bounds of what a task keeps: transitions, encoded pieces and pairs of tokens. Beyond them the
+# tables start afresh, which costs time and changes nothing; of the pieces the younger half stays.
 MAX_TRANSITIONS = 400_000
 MAX_PIECES = 200_000
 MAX_PAIRS = 120_000
@@ -125,17 +125,20 @@ class Transducer:
     def move(self, state: int, byte: int) -> int:
         """The state after one more byte, and the number of the tokens that are certain by then."""
         live = []
+        children, token_at, agreed = self.children, self.token_at, self.agreed.get
         for last, node, pending in self.sets[state]:
-            child = self.children[node].get(byte)
+            child = children[node].get(byte)
             if child is None:
                 continue
-            token = self.token_at[child]
-            if self.children[child]:
+            if children[child]:
                 live.append((last, child, pending))
-            if token >= 0 and self.agrees(last, token):
-                live.append((token, 0, (*pending, token)))
+            token = token_at[child]
+            if token >= 0:
+                agrees = agreed((last + 1) << 32 | token)
+                if self.agrees(last, token) if agrees is None else agrees:
+                    live.append((token, 0, (*pending, token)))
         first = live[0][2]
-        shared = min(len(x[2]) for x in live)
+        shared = len(first)
         for _, _, other in live:
             while other[:shared] != first[:shared]:
                 shared -= 1
@@ -184,16 +187,24 @@ class Encoder:
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
-        ids = self.machine.encode(piece.encode())
+        ids = self.older.get(piece) or self.machine.encode(piece.encode())
         if len(piece) <= KEPT_PIECE:
-            if len(self.known) >= MAX_PIECES:
-                self.known.clear()
             self.known[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Without the tables that grow with the texts."""
+        self.known, self.older = {}, {}
+        self.machine.reset()
+        self.machine.agreed.clear()
+        self.machine.edges.clear()
+
     def encode(self, text: str) -> list[int]:
+        if len(self.known) >= MAX_PIECES // 2:
+            self.known, self.older = {}, self.known
         known, piece = self.known.get, self.piece
         return list(chain.from_iterable([known(p) or piece(p) for p in self.pieces(text)]))
 
@@ -225,11 +236,18 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str) -> Dat
 
     def step():
         encoder, decoder = coders(held.value, pattern)
+        # the tables hold millions of tuples and no cycles; they end with the task
+        gc.disable()
+
+        def close():
+            encoder.forget()
+            gc.enable()
 
         def work(rows):
             ids = [encoder.encode(t.decode()) for t in rows["text"]]
             return {"doc_id": rows["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [decoder.decode(x) for x in ids]}
 
+        work.close = close
         return work
 
     return in_batches(documents.select("doc_id", utf8()), f"doc_id {kind(documents)}, n_tokens long, ids array<int>, decoded string", step, "text")
@@ -239,17 +257,8 @@ def kind(documents: DataFrame) -> str:
     return documents.schema["doc_id"].dataType.simpleString()
 
 
-_CODERS: dict[tuple, tuple[Encoder, Decoder]] = {}
-
-
 def coders(ranks: dict[bytes, int], pattern: str) -> tuple[Encoder, Decoder]:
-    """One encoder and decoder a worker process, however many tasks it runs."""
-    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
-    if key not in _CODERS:
-        gc.disable()  # the tables hold millions of tuples and no cycles
-        _CODERS.clear()
-        _CODERS[key] = Encoder(ranks, pattern), Decoder(ranks)
-    return _CODERS[key]
+    return Encoder(ranks, pattern), Decoder(ranks)
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:

@@ -61,18 +61,23 @@ def in_batches(
 
     ``step()`` is called once per task and returns the function from columns to columns. Slices end
     where the column ``text`` (bytes, or a number of bytes) has gathered ``BATCH_BYTES``; a text is never cut.
+    A function with an attribute ``close`` has it called at the end of the task.
     """
     fields = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(fields)
         work = step()
-        for batch in batches:
-            for part in slices(batch, text):
-                made = work(dict(zip(part.schema.names, (c.to_pylist() for c in part.columns))))
-                columns = [pa.array(made[f.name], type=f.type) for f in out]
-                if columns and len(columns[0]):
-                    yield pa.RecordBatch.from_arrays(columns, schema=out)
+        try:
+            for batch in batches:
+                for part in slices(batch, text):
+                    made = work(dict(zip(part.schema.names, (c.to_pylist() for c in part.columns))))
+                    columns = [pa.array(made[f.name], type=f.type) for f in out]
+                    if columns and len(columns[0]):
+                        yield pa.RecordBatch.from_arrays(columns, schema=out)
+        finally:
+            if hasattr(work, "close"):
+                work.close()
 
     return df.mapInArrow(run, fields)
 
