@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from .common import in_batches, utf8
 
 # Bounds of what a task keeps: transitions, encoded pieces and pairs of tokens. Beyond them the
-# tables start afresh, which costs time and changes nothing; of the pieces the younger half stays.
+# tables start afresh, which costs time and changes nothing.
 MAX_TRANSITIONS = 400_000
-MAX_PIECES = 200_000
-MAX_PAIRS = 120_000
+MAX_PIECES = 300_000
+MAX_PAIRS = 240_000
 KEPT_PIECE = 64
 
 
@@ -186,25 +186,24 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.older.get(piece) or self.machine.encode(piece.encode())
+    def piece(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(self.machine.encode(piece.encode()))
         if len(piece) <= KEPT_PIECE:
+            if len(self.known) >= MAX_PIECES:
+                self.known.clear()
             self.known[piece] = ids
         return ids
 
     def forget(self) -> None:
         """Without the tables that grow with the texts."""
-        self.known, self.older = {}, {}
+        self.known.clear()
         self.machine.reset()
         self.machine.agreed.clear()
         self.machine.edges.clear()
 
     def encode(self, text: str) -> list[int]:
-        if len(self.known) >= MAX_PIECES // 2:
-            self.known, self.older = {}, self.known
         known, piece = self.known.get, self.piece
         return list(chain.from_iterable([known(p) or piece(p) for p in self.pieces(text)]))
 

@@ -4,13 +4,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import awkward_documents, documents, prose
 
-from colscope.llm import fim, pii, whiten
+from colscope.llm import bpe, fim, pii, queries, whiten
 
 UNITS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -260,3 +262,14 @@ def test_spans_map_back_through_edits(text, data):
     for i in range(len(origin)):
         for j in range(i + 1, len(origin) + 1):
             assert made.span(i, j) == (origin[i][0], origin[j - 1][1])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \t\n\x1c\xa0\x85  aé1.'s☃", max_size=30))
+def test_bpe_cuts_words_only_where_matches_start(text):
+    assert ENCODER.encode(text) == CODER.encode_ordinary(text)
+
+
+RANKS = bpe.load_ranks(queries.RANKS)
+CODER = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+ENCODER = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
