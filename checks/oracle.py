@@ -239,6 +239,17 @@ GAPPED = ["value_25null", "value_55null", "value_97null"]
 ORACLE: dict[str, str] = {
     "schema_summary_events": _schema_sql("events", V.EVENTS_COLUMNS),
     "schema_summary_sparse": f"with src as ({V.EVENTS_SPARSE_SQL}) {_schema_sql('src', V.EVENTS_SPARSE_COLUMNS)}",
+    "footer_ranges_lineitem": " union all ".join(
+        f"select {i} ordinal, '{n}' \"column\", '{t}' physical_type, count(*) - count({n}) nulls, count(*) \"rows\","
+        + (f" min({n})::bigint least, max({n})::bigint most" if t in ("int", "bigint") else " null::bigint least, null::bigint most")
+        + " from lineitem"
+        for i, (n, t) in enumerate(V.LINEITEM_COLUMNS)
+    ),
+    "footer_ranges_embeddings": """select 0 ordinal, 'vec_id' "column", 'bigint' physical_type, count(*) - count(vec_id) nulls, count(*) "rows",
+    min(vec_id)::bigint least, max(vec_id)::bigint most from embeddings
+  union all select 1, 'embedding', 'array<float>', count(*) - count(embedding), count(*), null, null from embeddings
+  union all select 2, 'label', 'int', count(*) - count(label), count(*), min(label)::bigint, max(label)::bigint from embeddings""",
+    "schema_summary_pages": _schema_sql("pages", [("page_id", "bigint"), ("url", "string"), ("html", "string")]),
     "table_size_lineitem": f'select count(*) "rows", {len(V.LINEITEM_COLUMNS)} columns from lineitem',
     "numeric_columns_part": """select p_partkey::double p_partkey, p_size::double p_size,
   p_retailprice::double p_retailprice from part""",

@@ -16,7 +16,7 @@ from colscope.operators.measures import measure
 from colscope.plans import analyze as analyses
 from colscope.plans import report, sinks
 from colscope.session import local_rows, materialize
-from colscope.sources import tables, texts
+from colscope.sources import footers, tables, texts
 
 from . import views
 from .views import table
@@ -63,7 +63,24 @@ def profile_out(df: DataFrame) -> DataFrame:
 
 @query
 def schema_summary_events(spark, sf):
-    return tables.schema_summary(tables.read_table(spark, f"{sf}/events.parquet"))
+    """Answered from the footers, like the next two."""
+    return footers.table_facts(spark, f"{sf}/events.parquet").drop("least", "most")
+
+
+@query
+def footer_ranges_lineitem(spark, sf):
+    return footers.table_facts(spark, f"{sf}/lineitem.parquet")
+
+
+@query
+def footer_ranges_embeddings(spark, sf):
+    """With a column of arrays, whose nulls are counted by a scan of that column."""
+    return footers.table_facts(spark, f"{sf}/embeddings.parquet")
+
+
+@query
+def schema_summary_pages(spark, sf):
+    return tables.schema_summary(tables.read_table(spark, f"{sf}/pages.parquet"))
 
 
 @query
