@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def measure(df: DataFrame, groups: list[list[Column]]) -> list[list[float | None]]:
-    """Value of every aggregate, group by group, as doubles.
+def measure(df: DataFrame, groups: list[list[Column]], kind: str = "double") -> list[list[float | None]]:
+    """Value of every aggregate, group by group, as doubles or values of another type.
 
     Counts stay exact as doubles up to 2**53 rows.
     """
     parts = [
-        df.agg(*[m.cast("double").alias(f"m{j}") for j, m in enumerate(group)]).select(
+        df.agg(*[m.cast(kind).alias(f"m{j}") for j, m in enumerate(group)]).select(
             F.lit(i).alias("k"), F.array(*[f"m{j}" for j in range(len(group))]).alias("ms")
         )
         for i, group in enumerate(groups)

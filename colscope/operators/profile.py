@@ -1,9 +1,10 @@
 """Column profile: one row per column, computed over the whole table.
 
-Three kinds of scans, each reading only the columns it needs:
-1. counts, mean, variance and range of every column (map-side combined, one row per task);
-2. exact distinct counts and exact quartiles;
-3. shape and outlier counts against the means and fences found before.
+Four kinds of scans, each reading only the columns it needs:
+1. counts and range of every column (map-side combined, one row per task);
+2. means and variances from error-free sums, scaled by the ranges found before;
+3. exact distinct counts and exact quartiles;
+4. shape and outlier counts against the means and fences found before.
 Only one record per column reaches the driver.
 """
 
@@ -21,6 +22,7 @@ from ..session import local_rows
 from .distinct import approximate_distinct, exact_distinct
 from .measures import measure
 from .quantiles import SAMPLE, SMALL, exact_quantiles, values_at_positions
+from .sums import exact_moments
 
 NUMERIC_PER_SCAN = 8
 OTHERS_PER_SCAN = 32
@@ -83,12 +85,13 @@ def profile_columns(
     rows = facts[0]["rows"] if facts else 0
     _count_distinct(df, facts, rows, distinct)
     frame = df.select(*[finite(as_double(n)).alias(n) for n in numeric])
+    _average(frame, numeric)
     _rank(df, frame, numeric, small, sample)
     _measure_shape(frame, numeric)
     return _as_profile(df, facts)
 
 
-_COUNTED = ("non_null", "finite", "finite_mean", "var", "min", "max", "zeros", "negatives", "lowest")
+_COUNTED = ("non_null", "finite", "finite_mean", "min", "max", "zeros", "negatives", "lowest")
 
 
 def _count_and_average(df: DataFrame, facts: list[dict]) -> None:
@@ -105,7 +108,7 @@ def _count_and_average(df: DataFrame, facts: list[dict]) -> None:
                     value = as_double(x["column"])
                     f = finite(value)
                     group += [
-                        F.count(f), F.avg(f), F.var_pop(f), F.min(f), F.max(f),
+                        F.count(f), F.avg(f), F.min(f), F.max(f),
                         F.count_if(f == 0), F.count_if(f < 0), F.count_if(value == -math.inf),
                     ]
             groups.append(group)
@@ -120,6 +123,16 @@ def _count_and_average(df: DataFrame, facts: list[dict]) -> None:
                     x[name] = int(value) if whole else value
 
 
+def _average(frame: DataFrame, numeric: dict) -> None:
+    """Means and variances without the rounding of long sums, in place of the plain means."""
+    for job in _cut(list(numeric.values()), NUMERIC_PER_SCAN):
+        known = {x["column"]: (x["finite"], x["finite_mean"], x["min"], x["max"]) for x in job}
+        found = exact_moments(frame, known)
+        for x in job:
+            moments = found.get(x["column"])
+            x["finite_mean"], x["var"] = (moments.mean, moments.variance) if moments else (None, None)
+
+
 def _cut(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 

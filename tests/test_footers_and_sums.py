@@ -1,6 +1,11 @@
+import math
+from fractions import Fraction
+
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from colscope.operators import profile, sums
 from colscope.sources import footers
 
 
@@ -37,3 +42,50 @@ def test_facts_of_several_files_and_partition_columns(spark, tmp_path):
     empty = f"{tmp_path}/empty"
     spark.createDataFrame([], "k long, t string").write.parquet(empty)
     assert facts(footers.table_facts(spark, empty)) == [(0, "k", "bigint", 0, 0, None, None), (1, "t", "string", 0, 0, None, None)]
+
+
+def exact(values):
+    mean = sum(map(Fraction, values)) / len(values)
+    return float(mean), float(sum((Fraction(v) - mean) ** 2 for v in values) / len(values))
+
+
+def moments(spark, values, parts):
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(parts)
+    return sums.exact_moments(frame, {"x": (len(values), exact_mean(values), min(values), max(values))})["x"]
+
+
+CASES = {
+    "cents": [round(0.01 * (i % 9), 2) for i in range(3000)],
+    "far from zero": [1e15 + i % 7 for i in range(2000)],
+    "cancelling": [1e16, 1.0, -1e16] * 300,
+    "wide": [10.0 ** (i % 20 - 10) * (-1) ** i for i in range(2000)],
+    "huge": [1.7e308 if i % 2 else 1.5e308 for i in range(100)],
+    "tiny": [5e-324 * (i % 5) for i in range(100)],
+    "negative": [-0.1 * i for i in range(1000)],
+    "constant": [0.1] * 700,
+    "two": [0.1, 0.3],
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_moments_against_exact_fractions(spark, name):
+    values = CASES[name]
+    found = moments(spark, values, 3)
+    if name == "huge":
+        assert found.mean == exact_mean(values) and found.variance == math.inf
+        return
+    mean, variance = exact(values)
+    assert found.mean == mean or name == "tiny" and abs(found.mean - mean) <= 5e-324
+    assert math.isclose(found.variance, variance, rel_tol=1e-12, abs_tol=1e-300)
+    assert found == moments(spark, values[::-1], 7)
+
+
+def exact_mean(values):
+    return float(sum(map(Fraction, values)) / len(values))
+
+
+def test_profile_means_do_not_hang_on_partitions(spark):
+    values = [(round(0.01 * (i * 7919 % 100), 2), i / 3) for i in range(5000)]
+    frames = [spark.createDataFrame(rows, "a double, b double").repartition(parts) for rows, parts in ((values, 1), (values[::-1], 5))]
+    one, two = (profile.profile_columns(f).select("column", "mean", "std", "finite_std").collect() for f in frames)
+    assert one == two and one[0].mean == exact_mean([a for a, _ in values])
