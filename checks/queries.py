@@ -11,7 +11,7 @@ from colscope.functions.kinds import numeric_columns, numeric_names
 from colscope.functions.scalars import as_double, finite
 from colscope.operators import advice, bootstrap, clustering, correlation, groups, insights, ordering
 from colscope.operators import profile as profiles
-from colscope.operators import quantiles, selection
+from colscope.operators import quantiles, selection, value_counts
 from colscope.operators.measures import measure
 from colscope.plans import analyze as analyses
 from colscope.plans import report, sinks
@@ -151,7 +151,9 @@ def percentiles_lineitem(spark, sf):
     frame = df.select(*[finite(as_double(n)).alias(n) for n in names])
     (counts,) = measure(frame, [[F.count(n) for n in names]])
     ps = [0.05, 0.50, 0.95, 0.99]
-    found = quantiles.exact_quantiles(frame, {n: ps for n in names}, dict(zip(names, map(int, counts))))
+    values = value_counts.value_counts(df, names)
+    found = values.quantiles({n: ps for n in names}, dict(zip(names, map(int, counts))))
+    values.release()
     rows = [(n, *[found[(n, p)] for p in ps]) for n in names]
     return rounded(local_rows(spark, rows, "column string, p5 double, p50 double, p95 double, p99 double"))
 

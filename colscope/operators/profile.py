@@ -21,8 +21,9 @@ from ..functions.scalars import as_double, col, finite, share
 from ..session import local_rows
 from .distinct import approximate_distinct, exact_distinct
 from .measures import measure
-from .quantiles import SAMPLE, SMALL, exact_quantiles, values_at_positions
+from .quantiles import SAMPLE, SMALL, values_at_positions
 from .sums import exact_moments
+from .value_counts import ValueCounts, countable, value_counts
 
 NUMERIC_PER_SCAN = 8
 OTHERS_PER_SCAN = 32
@@ -83,10 +84,15 @@ def profile_columns(
     numeric = {x["column"]: x for x in facts if x["kind"] == "numeric"}
     _count_and_average(df, facts)
     rows = facts[0]["rows"] if facts else 0
-    _count_distinct(df, facts, rows, distinct)
+    # In the exact mode one frame of value counts serves the distinct counts and the ranks.
+    counted = [f.name for f in fields if f.name in numeric and countable(f.dataType)] if distinct == "exact" else []
+    values = value_counts(df, counted) if counted else None
+    _count_distinct(df, facts, rows, distinct, values)
     frame = df.select(*[finite(as_double(n)).alias(n) for n in numeric])
     _average(frame, numeric)
-    _rank(df, frame, numeric, small, sample)
+    _rank(frame, numeric, small, sample, values)
+    if values:
+        values.release()
     _measure_shape(frame, numeric)
     return _as_profile(df, facts)
 
@@ -137,10 +143,11 @@ def _cut(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
-def _count_distinct(df: DataFrame, facts: list[dict], rows: int, mode: str) -> None:
+def _count_distinct(df: DataFrame, facts: list[dict], rows: int, mode: str, values: ValueCounts | None) -> None:
     names = [x["column"] for x in facts]
     if mode == "exact":
-        counted = exact_distinct(df, names)
+        known = values.distinct if values else {}
+        counted = exact_distinct(df, [n for n in names if n not in known]) | known
     elif mode == "approx":
         counted = approximate_distinct(df, names, rows)
     else:
@@ -152,7 +159,7 @@ def _count_distinct(df: DataFrame, facts: list[dict], rows: int, mode: str) -> N
             x["distinct"] = min(counted[x["column"]], x["non_null"]) + has_null
 
 
-def _rank(df: DataFrame, frame: DataFrame, numeric: dict, small: int, sample: int) -> None:
+def _rank(frame: DataFrame, numeric: dict, small: int, sample: int, values: ValueCounts | None) -> None:
     counts = {n: x["finite"] for n, x in numeric.items()}
     clean = {n for n, x in numeric.items() if x["finite"] == x["non_null"]}
     wanted: dict[str, list[float]] = {}
@@ -161,9 +168,7 @@ def _rank(df: DataFrame, frame: DataFrame, numeric: dict, small: int, sample: in
         if n in clean and x["finite"]:
             ps = ps + [0.5]
         if ps:
-            wanted[n] = ps
-    distinct = {n: x["distinct"] for n, x in numeric.items()}
-    known = exact_quantiles(frame, wanted, counts, distinct, small, sample)
+            wanted[n] = [p * (x["finite"] - 1) for p in ps]
 
     # Where infinities or NaN are present the median ranks all non-null values:
     # -inf first, then the finite values, then +inf, then NaN.
@@ -174,11 +179,17 @@ def _rank(df: DataFrame, frame: DataFrame, numeric: dict, small: int, sample: in
         position = 0.5 * (x["non_null"] - 1) - x["lowest"]
         if 0 <= position <= x["finite"] - 1:
             shifted[n] = [position]
-    medians = values_at_positions(frame, shifted, counts, distinct, small, sample)
+            wanted.setdefault(n, []).append(position)
+
+    counted = {n: ps for n, ps in wanted.items() if values and n in values.ids}
+    known = values.at_positions(counted) if counted else {}
+    others = {n: ps for n, ps in wanted.items() if n not in counted}
+    known |= values_at_positions(frame, others, counts, {n: x["distinct"] for n, x in numeric.items()}, small, sample)
 
     for n, x in numeric.items():
-        x["q1"], x["q3"] = known.get((n, 0.25)), known.get((n, 0.75))
-        x["median"] = medians[(n, shifted[n][0])] if n in shifted else known.get((n, 0.5))
+        at = lambda p: known.get((n, p * (x["finite"] - 1)))  # noqa: B023, E731
+        x["q1"], x["q3"] = (at(0.25), at(0.75)) if x["finite"] >= LEAST_VALUES else (None, None)
+        x["median"] = known[(n, shifted[n][0])] if n in shifted else at(0.5) if n in clean else None
 
 
 def _measure_shape(frame: DataFrame, numeric: dict) -> None:

@@ -56,10 +56,16 @@ def values_at_positions(
     sample: int = SAMPLE,
 ) -> dict[tuple[str, float], float]:
     """Interpolated values at fractional positions of the sorted non-null values."""
-    ranks = {
-        (n, r) for n, ps in positions.items() for pos in ps for r in (math.floor(pos), math.ceil(pos))
-    }
-    known = values_at_ranks(frame, sorted(ranks), counts, distinct, small, sample)
+    ranks = {(n, r) for n, ps in positions.items() for r in ranks_around(ps)}
+    return interpolated(positions, values_at_ranks(frame, sorted(ranks), counts, distinct, small, sample))
+
+
+def ranks_around(positions: list[float]) -> list[int]:
+    """The whole ranks that fractional positions lie between."""
+    return sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
+
+
+def interpolated(positions: dict[str, list[float]], known: dict[tuple[str, int], float]) -> dict[tuple[str, float], float]:
     answer = {}
     for n, ps in positions.items():
         for pos in ps:

@@ -19,6 +19,7 @@ from .measures import measure
 
 HIGH, LOW, LIMB = 52, 36, 18
 LEAST_EXPONENT = -1000
+COLUMNS_PER_SCAN = 2
 # Bits kept of the plain mean around which squares are taken: as good a centre, but a stable one.
 CENTRE_BITS = 44
 
@@ -83,8 +84,8 @@ def exact_moments(frame: DataFrame, known: dict[str, tuple[int, float, float, fl
             high, low = cut(c)
             parts += [high.alias(f"{kind}{i}"), low.alias(f"{kind}{i}_")]
         sums.append([s for kind in "vs" for s in limb_sums(F.col(f"{kind}{i}"), F.col(f"{kind}{i}_"))])
-    (found,) = measure(frame.select(*parts), [[s for group in sums for s in group]], "bigint")
-    row = iter(found)
+    groups = [[s for group in sums[i : i + COLUMNS_PER_SCAN] for s in group] for i in range(0, len(sums), COLUMNS_PER_SCAN)]
+    row = iter([x for found in measure(frame.select(*parts), groups, "bigint") for x in found])
     for name, (n, e, centre, spread) in wanted.items():
         first, squares = total_of([next(row) for _ in range(5)]) / n, total_of([next(row) for _ in range(5)]) / n
         variance = max(squares * Fraction(4) ** spread - (first - Fraction(centre)) ** 2, Fraction(0))

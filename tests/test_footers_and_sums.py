@@ -1,11 +1,13 @@
 import math
+import random
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from colscope.operators import profile, sums
+from colscope.operators import profile, sums, value_counts
 from colscope.sources import footers
 
 
@@ -89,3 +91,29 @@ def test_profile_means_do_not_hang_on_partitions(spark):
     frames = [spark.createDataFrame(rows, "a double, b double").repartition(parts) for rows, parts in ((values, 1), (values[::-1], 5))]
     one, two = (profile.profile_columns(f).select("column", "mean", "std", "finite_std").collect() for f in frames)
     assert one == two and one[0].mean == exact_mean([a for a, _ in values])
+
+
+def counted_frame(spark):
+    pick = random.Random(3)
+    rows = [(pick.randrange(40), pick.gauss(0, 1), pick.choice([0.0, -0.0, math.nan, math.inf, -math.inf, 2.5, None]), 2**60 + i) for i in range(3000)]
+    return rows, spark.createDataFrame(rows, "a int, b double, c double, d long").repartition(5)
+
+
+@pytest.mark.parametrize("small", [10, 100_000])
+def test_value_counts_give_distinct_counts_and_ranks(spark, small):
+    rows, df = counted_frame(spark)
+    counts = value_counts.value_counts(df, df.columns)
+    assert counts.distinct == {"a": 40, "b": 3000, "c": 5, "d": 3000}
+    for j, n in enumerate(df.columns):
+        ordered = sorted(float(r[j]) for r in rows if r[j] is not None and math.isfinite(r[j]))
+        ranks = [0, 1, len(ordered) // 3, len(ordered) - 1]
+        assert counts.at_ranks({n: ranks}, small) == {(n, r): ordered[r] for r in ranks}
+        found = counts.quantiles({n: [0.0, 0.31, 0.5, 1.0]}, {n: len(ordered)}, small)
+        assert all(math.isclose(v, np.quantile(ordered, p), rel_tol=1e-12, abs_tol=1e-12) for (_, p), v in found.items())
+    counts.release()
+
+
+def test_value_counts_of_nothing(spark):
+    df = spark.createDataFrame([(None, None)], "a int, b double")
+    counts = value_counts.value_counts(df, ["a", "b"])
+    assert counts.distinct == {"a": 0, "b": 0} and counts.quantiles({"a": [0.5]}, {"a": 0}) == {}
