@@ -478,3 +478,12 @@ select "rank", l_orderkey, cluster, {r6("distance", "z_score")}, severity,
   printf('distance %.2f, ', distance) || case when severity = 'high' then 'beyond the 99th percentile or 3 deviations'
     else 'beyond the 95th percentile or 2.5 deviations' end reason, explanation
 from odd join words using (l_orderkey)"""
+
+
+ORACLE["sketched_percentiles_lineitem"] = """select "column", p, true within_error
+from (values ('l_orderkey'), ('l_partkey'), ('l_suppkey'), ('l_linenumber'), ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) c("column"),
+  (select unnest([0.05, 0.25, 0.50, 0.75, 0.95, 0.99]::double[]) p)"""
+ORACLE["profile_sketched_lineitem"] = f"""with {LINEITEM} select "column", analytic_type, "rows", nulls, {S.mean("mean")},
+  round(std, 6) std, round("min", 6) "min", round("max", 6) "max", zeros, negatives, chart, true in_order from profile"""
+ORACLE["odd_rows_top_wide"] = f"select * from ({ORACLE['odd_rows_wide']}) where \"rank\" <= 200"
+ORACLE["csv_round_trip_documents"] = """select doc_id, sha256(coalesce(text, '')) text_sha256, coalesce(lang, '') lang, coalesce(source, '') source from documents"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from colscope.operators import quantiles, selection, value_counts
 from colscope.operators.measures import measure
 from colscope.plans import analyze as analyses
 from colscope.plans import report, sinks
-from colscope.session import local_rows, materialize
+from colscope.session import local_rows, materialize, shared_folder
 from colscope.sources import footers, tables, texts
 
 from . import views
@@ -158,6 +159,24 @@ def percentiles_lineitem(spark, sf):
     return rounded(local_rows(spark, rows, "column string, p5 double, p50 double, p95 double, p99 double"))
 
 
+@query
+def sketched_percentiles_lineitem(spark, sf):
+    """Whether the exact rank of every sketched percentile lies within the stated error."""
+    df = numeric_columns(table(spark, sf, "lineitem"))
+    found = quantiles.sketch_quantiles(df, {n: [0.05, 0.25, 0.50, 0.75, 0.95, 0.99] for n in df.columns})
+    off = quantiles.rank_distances(df, found)
+    rows = [(n, p, bool(d <= quantiles.SKETCH_ERROR)) for (n, p), d in off.items()]
+    return local_rows(spark, rows, "column string, p double, within_error boolean")
+
+
+@query
+def profile_sketched_lineitem(spark, sf):
+    """The profile without any shuffle of values: what doesn't hang on ranks, and quartiles in order."""
+    p = profiles.profile_columns(table(spark, sf, "lineitem"), distinct="approx", ranks="sketch")
+    ordered = F.coalesce((F.col("min") <= F.col("q1")) & (F.col("q1") <= F.col("median")) & (F.col("median") <= F.col("q3")) & (F.col("q3") <= F.col("max")), F.lit(True))
+    return rounded(p.select("column", "analytic_type", "rows", "nulls", "mean", "std", "min", "max", "zeros", "negatives", "chart", ordered.alias("in_order")))
+
+
 # Correlation and groups
 
 
@@ -423,6 +442,14 @@ def odd_rows_wide(spark, sf):
     return rounded(_clustered(spark, sf).odd_rows.drop("reason", "explanation"))
 
 
+@query
+def odd_rows_top_wide(spark, sf):
+    """The 200 farthest rows, kept by bounded heaps instead of a sort of all odd rows."""
+    df = wide(spark, sf)
+    found = clustering.cluster_rows(df, profiles.profile_columns(df), ["l_orderkey"], top=200)
+    return rounded(found.odd_rows.drop("reason", "explanation"))
+
+
 @query
 def odd_rows_explained_wide(spark, sf):
     """The converged clustering, with the explanation of every odd row."""
@@ -529,6 +556,15 @@ def merge_size_conversations(spark, sf):
     return texts.merge_size_report(table(spark, sf, "conversations"), "conv_id", "text", name="role", output_name="SYSTEM")
 
 
+@query
+def csv_round_trip_documents(spark, sf):
+    """Whole texts, with commas, quotes and line breaks, written as CSV and read back."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), path, single=False)
+    back = sinks.read_csv(spark, path)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "lang", "source")
+
+
 # Whole analysis
 
 

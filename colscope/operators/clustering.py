@@ -122,9 +122,13 @@ def cluster_rows(
     keys: list[str] | None = None,
     max_rounds: int = MAX_ROUNDS,
     max_features: int | None = None,
+    top: int | None = None,
 ) -> ClusterResult:
     """Clusters of the rows and the rows farthest from their cluster centre.
 
+    ``top`` keeps so many of the odd rows, the farthest: each task keeps its own, and nothing is
+    sorted across the table. The summary counts all of them either way.
+
     ``order_by`` fixes the row order that the seeds are taken from; ``keys`` (by default the same
     columns) are carried through to identify rows. All odd rows are returned; ``converged`` in the
     summary says whether the rounds ended because no row moved any more.
@@ -146,7 +150,7 @@ def cluster_rows(
 
     seeds = _seeds(rows, order_by, n, k, len(features))
     fit = _lloyd(rows, zs, seeds, max_rounds)
-    return _describe(rows, zs, keys, order_by, [f[0] for f in features], fit, n, k)
+    return _describe(rows, zs, keys, order_by, [f[0] for f in features], fit, n, k, top)
 
 
 def _seeds(rows, order_by, n, k, d) -> list[list[float]]:
@@ -195,7 +199,7 @@ def _lloyd(rows, zs, seeds, max_rounds) -> _Fit:
     return fit
 
 
-def _describe(rows, zs, keys, order_by, names, fit, n, k) -> ClusterResult:
+def _describe(rows, zs, keys, order_by, names, fit, n, k, top=None) -> ClusterResult:
     spark = rows.sparkSession
     own = " ".join(f"when cluster = {i} then {_gap(zs, c)}" for i, c in enumerate(fit.centroids))
     placed = with_nearest(rows, zs, {"cluster": fit.assigned_by}).selectExpr(
@@ -224,8 +228,9 @@ def _describe(rows, zs, keys, order_by, names, fit, n, k) -> ClusterResult:
     records.sort(key=lambda x: (-x[1], x[0]))
     clusters = local_rows(spark, [(rank, *x) for rank, x in enumerate(records, 1)], CLUSTER_SCHEMA)
 
-    odd = materialize(_odd_rows(placed, zs, keys, order_by, names, fit.centroids, mean, std, p95, p99))
-    count = odd.count()
+    marked = odd_marked(placed, mean, std, p95)
+    odd = materialize(_odd_rows(marked, zs, keys, order_by, names, fit.centroids, p99, top))
+    count = odd.count() if top is None else marked.count()
     if count:
         text = f"{k} clusters over {len(names)} numeric columns; {count} odd rows stand out and are worth a look first."
     else:
@@ -238,11 +243,23 @@ def _describe(rows, zs, keys, order_by, names, fit, n, k) -> ClusterResult:
     )
 
 
-def _odd_rows(placed, zs, keys, order_by, names, centroids, mean, std, p95, p99) -> DataFrame:
+def odd_marked(placed: DataFrame, mean: float, std: float, p95: float) -> DataFrame:
     z = (F.col("distance") - mean) / std if std > 0 else F.lit(0.0)
-    marked = placed.withColumn("z_score", z).where((F.col("distance") >= p95) | (F.col("z_score") >= ODD_Z))
-    # ranked by ranges of the distance: their number grows with the table
-    ranked = running_index(marked.withColumn("_nearness", -F.col("distance")), ["_nearness", *order_by], out="_place")
+    return placed.withColumn("z_score", z).where((F.col("distance") >= p95) | (F.col("z_score") >= ODD_Z))
+
+
+def farthest_rows(marked: DataFrame, order_by: list[str], top: int | None) -> DataFrame:
+    """The odd rows with their place, the farthest first; all of them, or the ``top`` farthest."""
+    if top is None:
+        # ranked by ranges of the distance: their number grows with the table
+        return running_index(marked.withColumn("_nearness", -F.col("distance")), ["_nearness", *order_by], out="_place")
+    order = [F.desc("distance"), *[col(n) for n in order_by]]
+    # the window sees the rows that are left, so one task numbers them
+    return marked.orderBy(*order).limit(top).withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def _odd_rows(marked, zs, keys, order_by, names, centroids, p99, top) -> DataFrame:
+    ranked = farthest_rows(marked, order_by, top)
 
     high = (F.col("distance") >= p99) | (F.col("z_score") >= ODD_HIGH_Z)
     parts = []
@@ -254,7 +271,7 @@ def _odd_rows(placed, zs, keys, order_by, names, centroids, mean, std, p95, p99)
     farthest = F.slice(F.array_sort(F.array(*parts)), 1, EXPLAINED)
     words = F.transform(farthest, lambda x: F.concat(x["name"], F.format_string("=%.2fσ", x["z"])))
     return ranked.select(
-        (F.col("_place") + 1).alias("rank"),
+        (F.col("_place") + 1).cast("bigint").alias("rank"),
         *[col(k) for k in keys],
         "cluster", "distance", "z_score",
         F.when(high, "high").otherwise("medium").alias("severity"),

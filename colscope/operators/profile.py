@@ -21,7 +21,7 @@ from ..functions.scalars import as_double, col, finite, share
 from ..session import local_rows
 from .distinct import approximate_distinct, exact_distinct
 from .measures import measure
-from .quantiles import SAMPLE, SMALL, values_at_positions
+from .quantiles import SAMPLE, SMALL, sketch_quantiles, values_at_positions
 from .sums import exact_moments
 from .value_counts import ValueCounts, countable, value_counts
 
@@ -66,11 +66,16 @@ def profile_columns(
     include_decimal: bool = False,
     small: int = SMALL,
     sample: int = SAMPLE,
+    ranks: str = "exact",
 ) -> DataFrame:
     """Profile of every column, in column order.
 
     ``distinct="approx"`` counts with a sketch and re-counts exactly near rule thresholds.
+    ``ranks="sketch"`` takes quartiles and medians from sketches (see ``sketch_quantiles``); with
+    both, no values are shuffled at all.
     """
+    if ranks not in ("exact", "sketch"):
+        raise ValueError("ranks must be 'exact' or 'sketch'")
     fields = df.schema.fields
     facts = [
         {
@@ -90,7 +95,10 @@ def profile_columns(
     _count_distinct(df, facts, rows, distinct, values)
     frame = df.select(*[finite(as_double(n)).alias(n) for n in numeric])
     _average(frame, numeric)
-    _rank(frame, numeric, small, sample, values)
+    if ranks == "sketch":
+        _sketch(frame, numeric)
+    else:
+        _rank(frame, numeric, small, sample, values)
     if values:
         values.release()
     _measure_shape(frame, numeric)
@@ -192,6 +200,18 @@ def _rank(frame: DataFrame, numeric: dict, small: int, sample: int, values: Valu
         x["median"] = known[(n, shifted[n][0])] if n in shifted else at(0.5) if n in clean else None
 
 
+def _sketch(frame: DataFrame, numeric: dict) -> None:
+    """Quartiles and medians from sketches; a column with infinities or NaN has no median here."""
+    wanted = {n: [0.25, 0.5, 0.75] for n, x in numeric.items() if x["finite"]}
+    found = {}
+    for part in _cut(list(wanted), NUMERIC_PER_SCAN * SCANS_PER_JOB):
+        found |= sketch_quantiles(frame, {n: wanted[n] for n in part})
+    for n, x in numeric.items():
+        enough = x["finite"] >= LEAST_VALUES
+        x["q1"], x["q3"] = (found.get((n, 0.25)), found.get((n, 0.75))) if enough else (None, None)
+        x["median"] = found.get((n, 0.5)) if x["finite"] == x["non_null"] else None
+
+
 def _measure_shape(frame: DataFrame, numeric: dict) -> None:
     for x in numeric.values():
         n, var = x["finite"], x.pop("var")

@@ -21,6 +21,8 @@ SMALL = 200_000
 SAMPLE = 100_000
 LEAST_SAMPLE = 20_000
 COLUMNS_PER_JOB = 24
+# Share of a column's rows that a sketched quantile's rank may be off.
+SKETCH_ERROR = 0.0005
 
 
 def exact_quantiles(
@@ -60,6 +62,39 @@ def values_at_positions(
     return interpolated(positions, values_at_ranks(frame, sorted(ranks), counts, distinct, small, sample))
 
 
+def sketch_quantiles(frame: DataFrame, probabilities: dict[str, list[float]], error: float = SKETCH_ERROR) -> dict[tuple[str, float], float]:
+    """Values of the columns near the wanted quantiles, from mergeable sketches in one scan of all columns.
+
+    The answer is a value of the column whose rank lies within ``error`` times the column's rows of
+    the wanted one; nothing is interpolated and nothing but sketches is shuffled. Columns without
+    values are left out.
+    """
+    if not 0 < error < 1:
+        raise ValueError("error must lie between 0 and 1")
+    accuracy = math.ceil(1 / error)
+    wanted = {n: ps for n, ps in probabilities.items() if ps}
+    if not wanted:
+        return {}
+    row = frame.agg(*[F.percentile_approx(col(n), ps, accuracy).alias(f"q{i}") for i, (n, ps) in enumerate(wanted.items())]).first()
+    return {(n, p): v for i, (n, ps) in enumerate(wanted.items()) for p, v in zip(ps, row[i] or [])}
+
+
+def rank_distances(frame: DataFrame, values: dict[tuple[str, float], float]) -> dict[tuple[str, float], float]:
+    """How far the ranks of ``values`` are from the wanted ones, as a share of the column's rows.
+
+    A value that stands at several ranks is as far as its nearest one.
+    """
+    if not values:
+        return {}
+    counts = [m for (n, _), v in values.items() for m in (F.count(col(n)), F.count_if(col(n) < v), F.count_if(col(n) <= v))]
+    row = iter(frame.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first())
+    answer = {}
+    for n, p in values:
+        rows, below, upto = next(row), next(row), next(row)
+        answer[(n, p)] = max(below - p * rows, p * rows - upto, 0) / rows
+    return answer
+
+
 def ranks_around(positions: list[float]) -> list[int]:
     """The whole ranks that fractional positions lie between."""
     return sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})

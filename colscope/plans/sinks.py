@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, fixed_decimals, whole_number
@@ -18,19 +18,25 @@ def output_folder(path: str, base: str | None = None) -> str:
     return f"{parent}/profile_{stem or 'table'}"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One file with a header; cells are quoted only where needed, blank for null and empty."""
-    (
-        df.coalesce(1)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        # cells keep the blanks they begin and end with
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+# How cells are written and read: quoted only where needed, quotes doubled, blanks kept.
+CSV = {
+    "header": True, "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
+def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
+    """Files with a header; cells are blank for null and empty.
+
+    A small table goes to one file. A large one is written in as many parts as it has, in its order.
+    """
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of ``write_csv`` as text, in all files of the path; blank ones are empty text."""
+    read = spark.read.options(**CSV).option("multiLine", True).option("inferSchema", False).csv(path)
+    return read.na.fill("")
 
 
 def _numbers(df: DataFrame, order: str | list[str], columns: list[tuple[str, int | None]]) -> DataFrame:
@@ -103,12 +109,8 @@ def _printable(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns(shown) if shown else df
 
 
-# Odd rows in the one file that is written of them by default.
-WRITTEN_ODD_ROWS = 100_000
-
-
-def write_results(result: Analysis, folder: str, odd_rows: int | None = WRITTEN_ODD_ROWS) -> None:
-    """Twelve CSV tables, one file each, and the HTML report. The full table of odd rows is in ``result``."""
+def write_results(result: Analysis, folder: str, odd_rows: int | None = None) -> None:
+    """Twelve CSV tables and the HTML report. Odd rows grow with the table, so they take several files."""
     for name, table in csv_tables(result, odd_rows).items():
-        write_csv(table, f"{folder}/{name}.csv")
+        write_csv(table, f"{folder}/{name}.csv", single=name != "odd_rows" or odd_rows is not None)
     html_report(result).coalesce(1).write.mode("overwrite").text(f"{folder}/report.html")

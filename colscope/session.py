@@ -41,6 +41,12 @@ def prepare_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share."""
+    prepare_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there.
 

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from colscope.operators import profile, sums, value_counts
+from colscope.operators import clustering, profile, quantiles, sums, value_counts
+from colscope.plans import sinks
 from colscope.sources import footers
 
 
@@ -117,3 +118,44 @@ def test_value_counts_of_nothing(spark):
     df = spark.createDataFrame([(None, None)], "a int, b double")
     counts = value_counts.value_counts(df, ["a", "b"])
     assert counts.distinct == {"a": 0, "b": 0} and counts.quantiles({"a": [0.5]}, {"a": 0}) == {}
+
+
+@pytest.mark.parametrize("error", [0.05, 0.0005])
+def test_sketched_ranks_lie_within_the_error(spark, error):
+    rows, df = counted_frame(spark)
+    frame = df.selectExpr("a", "b", "cast(null as double) e")
+    ps = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    found = quantiles.sketch_quantiles(frame, {n: ps for n in frame.columns}, error)
+    assert {n for n, _ in found} == {"a", "b"}
+    for j, n in enumerate(("a", "b")):
+        ordered = sorted(r[j] for r in rows)
+        for p in ps:
+            v = found[(n, p)]
+            below, upto = sum(x < v for x in ordered), sum(x <= v for x in ordered)
+            off = max(below - p * len(ordered), p * len(ordered) - upto, 0) / len(ordered)
+            assert off <= error and v in ordered
+            assert quantiles.rank_distances(frame, {(n, p): v})[(n, p)] == off
+    assert quantiles.sketch_quantiles(frame, {}) == {}
+    with pytest.raises(ValueError):
+        quantiles.sketch_quantiles(frame, {"a": ps}, 0)
+
+
+def test_farthest_rows_need_no_sort_of_the_table(spark):
+    df = spark.createDataFrame([(i, float(i * 37 % 50)) for i in range(400)], "k long, distance double").repartition(6)
+    marked = clustering.odd_marked(df, 25.0, 10.0, 30.0)
+    some, every = clustering.farthest_rows(marked, ["k"], 20), clustering.farthest_rows(marked, ["k"], None)
+    plan = some._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    columns = ["k", "distance", "z_score", "_place"]
+    assert sorted(map(tuple, some.select(columns).collect())) == sorted(tuple(r) for r in every.select(columns).collect() if r._place < 20)
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_csv_cells_come_back(spark, tmp_path, single):
+    cells = ["plain", "a,b", 'say "so"', "two\nlines", ' " ', "", None, "  blanks  ", "\\", '\\"', "é☃", ",", '"', '""', "#x", "tab\there", "\n"]
+    rows = [(i, c, str(c)[::-1]) for i, c in enumerate(cells)]
+    df = spark.createDataFrame(rows, "`a.b` long, c string, d string").repartition(3)
+    sinks.write_csv(df, f"{tmp_path}/x.csv", single)
+    back = sinks.read_csv(spark, f"{tmp_path}/x.csv")
+    assert back.columns == df.columns
+    assert sorted(tuple(r) for r in back.collect()) == sorted((str(i), c or "", d) for i, c, d in rows)
