@@ -64,6 +64,19 @@ class Match:
     similarity: float
 
 
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Matches of one notice, the ones with fewer errors first, without those that overlap one taken before."""
+    begins: list[int] = []
+    taken: list[tuple[int, int, int, int]] = []
+    for match in sorted(found, key=lambda m: (m[2], m[0])):
+        i = bisect_left(begins, match[0])
+        if (i and taken[i - 1][1] > match[0]) or (i < len(taken) and begins[i] < match[1]):
+            continue
+        begins.insert(i, match[0])
+        taken.insert(i, match)
+    return taken
+
+
 class Scanner:
     def __init__(self, notices=NOTICES, base=BASE):
         self.notices, self.base = notices, base
@@ -75,8 +88,19 @@ class Scanner:
         for piece, where in at.items():
             self.seeds.add_word(piece, (len(piece), where))
         self.seeds.make_automaton()
-        # whole words only, with the fewest errors there are
-        self.fuzzy = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={errors_of(n)}}}(?![^ ])") for n, _ in notices]
+        # whole words only; by the number of errors allowed
+        self.fuzzy = [self.pattern(n, errors_of(n)) for n, _ in notices]
+        self.exactly = [[self.pattern(n, e) for e in range(errors_of(n) + 1)] for n, _ in notices]
+
+    @staticmethod
+    def pattern(notice: str, errors: int) -> regex.Pattern:
+        """Whole words within so many errors. An error cannot be a character in front: that makes another word."""
+        first, rest = (regex.escape(x, literal_spaces=True) for x in (notice[0], notice[1:]))
+        ways = [f"{first}(?:{rest}){{e<={errors}}}"]
+        if errors:
+            # the first character replaced, or left out
+            ways += [f"[^ ](?:{rest}){{e<={errors - 1}}}", f"(?:{rest}){{e<={errors - 1}}}"]
+        return regex.compile(f"(?<![^ ])(?:{'|'.join(ways)})(?![^ ])")
 
     def base_places(self, joined: str) -> list[tuple[int, str]]:
         """(word, label) of every place where a phrase's words stand one after the other."""
@@ -89,32 +113,40 @@ class Scanner:
         return found
 
     def matches(self, joined: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, edits, notice) of the fuzzy matches, each start and notice once."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        """(start, end, edits, notice) of the fuzzy matches; those of one notice don't overlap.
+
+        Every word that a seed lets a notice begin with is tried. Where matches of a notice overlap,
+        fewer errors go first, then the earlier start.
+        """
+        starts: dict[int, set[int]] = {}
         for end, (size, where) in self.seeds.iter(joined):
             for k, start in where:
                 slack = errors_of(self.notices[k][0])
-                low = end + 1 - size - start - slack
-                windows.setdefault(k, []).append((low, low + len(self.notices[k][0]) + 2 * slack))
-        found = set()
-        for k, spans in windows.items():
-            spans.sort()
-            low, high = spans[0]
-            merged = []
-            for a, b in spans[1:]:
-                if a <= high:
-                    high = max(high, b)
-                else:
-                    merged.append((low, high))
-                    low, high = a, b
-            merged.append((low, high))
-            for a, b in merged:
-                # the pattern looks at the neighbours of a match; a match itself stays in the window
-                for m in self.fuzzy[k].finditer(joined, max(0, a), min(len(joined), b + 1), overlapped=True):
-                    if m.end() == len(joined) or joined[m.end()] == " ":
-                        found.add((m.start(), m.end(), sum(m.fuzzy_counts), k))
+                at = end + 1 - size - start
+                # a word begins after a blank
+                begin = joined.find(" ", max(0, at - slack - 1), max(0, at + slack))
+                while begin >= 0:
+                    starts.setdefault(k, set()).add(begin + 1)
+                    begin = joined.find(" ", begin + 1, max(0, at + slack))
+        found = []
+        for k, places in starts.items():
+            tried = [m for m in (self.match_at(joined, k, at) for at in sorted(places)) if m]
+            found += apart(tried)
         return self.best(sorted(found))
 
+    def match_at(self, joined: str, k: int, start: int) -> tuple[int, int, int, int] | None:
+        """The match of a notice that begins here: with the fewest errors, of those the shortest."""
+        if not self.fuzzy[k].match(joined, start):
+            return None
+        size = len(self.notices[k][0])
+        for errors, pattern in enumerate(self.exactly[k]):
+            end = joined.find(" ", max(start + 1, start + size - errors), start + size + errors + 1)
+            while end >= 0:
+                if pattern.fullmatch(joined, start, end):
+                    return start, end, errors, k
+                end = joined.find(" ", end + 1, start + size + errors + 1)
+        return None
+
     def best(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Without the matches that overlap one of another label with fewer errors."""
         reach = max((end - start for start, end, _, _ in found), default=0)
@@ -159,7 +191,8 @@ def scan_licenses(documents: DataFrame, notices=NOTICES, base=BASE) -> DataFrame
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lowered. The
     score is that of the best match: 1 for a phrase of the base, else the share of a notice's
-    characters without errors. Spans are word numbers from 0.
+    characters without errors. Spans are word numbers from 0; a notice that comes several times, with
+    and without errors, has all its places.
 
     Null and empty texts have no words, no labels and score 0. Null doc_ids and repeated rows are
     kept; no rows give no rows; other columns are not looked at.
