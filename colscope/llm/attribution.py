@@ -16,14 +16,10 @@ RULES = ("first", "last", "most")
 
 
 def line_sections(documents: DataFrame) -> DataFrame:
-    """The documents with ``sections``: a line and the break that ends it, as code point spans."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    ends = F.aggregate(
-        lines,
-        F.array().cast("array<long>"),
-        lambda done, line: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("long")) + F.char_length(line) + 1)),
-    )
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), ends.alias("ends"))
+    """The documents with ``sizes``: the code points of each line and the break that ends it."""
+    text = F.coalesce("text", F.lit(""))
+    sizes = F.transform(F.split(text, "\n", -1), lambda line: F.char_length(line).cast("long") + 1)
+    return documents.select("doc_id", text.alias("text"), sizes.alias("sizes"))
 
 
 def token_spans(ids: np.ndarray, sizes: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +31,15 @@ def token_spans(ids: np.ndarray, sizes: np.ndarray, text: bytes) -> tuple[np.nda
     return point[starts], point[ends - 1] + 1
 
 
+def check(sections: list) -> None:
+    """Refuses sections that are not disjoint, sorted spans."""
+    last = 0
+    for s in sections:
+        if s is None or s["begin"] is None or s["end"] is None or not last <= s["begin"] <= s["end"]:
+            raise ValueError("sections have to be disjoint and sorted, without nulls")
+        last = s["end"]
+
+
 def attribute(low: np.ndarray, high: np.ndarray, begins: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(section of each token, -1 for none; whether it lies in several), by an interval join.
 
@@ -57,18 +62,20 @@ def attribute(low: np.ndarray, high: np.ndarray, begins: np.ndarray, ends: np.nd
 def count_tokens(documents: DataFrame, ranks_path: str, pattern: str, rule: str = "first") -> DataFrame:
     """(doc_id, section, n_tokens, n_crossing) per section of every row with ``text`` and ``sections``.
 
-    ``sections`` is an array of (begin, end) code point spans, disjoint and sorted, or ``ends`` holds
-    the ends of sections that follow each other. ``n_crossing`` counts the tokens of ``n_tokens``
+    ``sections`` is an array of (begin, end) code point spans, disjoint and sorted, or ``sizes`` holds
+    the code points of sections that follow each other. ``n_crossing`` counts the tokens of ``n_tokens``
     that lie in several sections; each is counted once, by ``rule``. Tokens outside all sections
     are counted under the section -1, so that a document's counts add up to its tokens.
 
     Null and empty texts: their sections with 0 tokens. Sections without tokens are returned with 0.
+    Null sections, or none: all tokens are outside. A null among them or a null end, and spans that
+    overlap, are unsorted or end before they begin, raise ValueError.
     Null doc_ids and repeated rows are kept, each row by itself; no rows give no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule has to be one of {RULES}")
     held = documents.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    follow = "ends" in documents.columns
+    follow = "sizes" in documents.columns
 
     def step():
         ranks = held.value
@@ -81,10 +88,12 @@ def count_tokens(documents: DataFrame, ranks_path: str, pattern: str, rule: str
             out = {"doc_id": [], "section": [], "n_tokens": [], "n_crossing": []}
             for i, (doc_id, text) in enumerate(zip(part["doc_id"], part["text"])):
                 if follow:
-                    ends = np.array(part["ends"][i] or [], dtype=np.int64)
-                    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                    lengths = np.array(part["sizes"][i] or [], dtype=np.int64)
+                    ends = np.cumsum(lengths)
+                    begins = ends - lengths
                 else:
                     spans = part["sections"][i] or []
+                    check(spans)
                     begins, ends = (np.array([s[k] for s in spans], dtype=np.int64) for k in ("begin", "end"))
                 ids = np.array(coder.encode_ordinary(text.decode()), dtype=np.int64)
                 n = len(begins)
@@ -102,5 +111,5 @@ def count_tokens(documents: DataFrame, ranks_path: str, pattern: str, rule: str
 
         return work
 
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "ends" if follow else "sections")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "sizes" if follow else "sections")
     return in_batches(rows, f"doc_id {kind(documents)}, section long, n_tokens long, n_crossing long", step, "text")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -8,6 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import awkward_documents, components_of, documents, prose
+from pyspark.sql import functions as F
 
 from colscope.llm import attribution, bpe, jaccard, lines, notices, queries
 
@@ -151,6 +153,57 @@ def test_pigeonhole_misses_no_notice(notice, data):
     assert exists and any(m[3] == k for m in notices.Scanner(notices=[notices.NOTICES[k]] * (k + 1)).matches(joined)) is exists
 
 
+def distance(a, b):
+    """Edits from b to a, none of which puts a character in front."""
+    row = list(range(len(b) + 1))
+    for x in a:
+        last, row[0] = row[0], len(a) + len(b)
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def notices_by_hand(joined, table):
+    """Every word start with every word end; of overlapping places the ones with fewer edits, then the earlier."""
+    blanks = [i for i, c in enumerate(joined) if c == " "]
+    found = []
+    for k, (notice, _) in enumerate(table):
+        most, taken = notices.errors_of(notice), []
+        spans = [(a + 1, b) for a in blanks for b in blanks if abs(b - a - 1 - len(notice)) <= most]
+        edits = {(a, b): distance(joined[a:b], notice) for a, b in spans}
+        best = {}
+        for (a, b), n in sorted(edits.items()):
+            if n <= most and (a not in best or n < best[a][0]):
+                best[a] = (n, b)
+        for n, a, b in sorted((n, a, b) for a, (n, b) in best.items()):
+            if all(b <= x or y <= a for x, y, _, _ in taken):
+                taken.append((a, b, n, k))
+        found += taken
+    clash = lambda m, o: o[2] < m[2] and m[0] < o[1] and o[0] < m[1] and table[o[3]][1] != table[m[3]][1]
+    return sorted(m for m in found if not any(clash(m, o) for o in found))
+
+
+SCANNER = notices.Scanner()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([n for n, _ in notices.NOTICES] + ["the", "mit", "a license"]), min_size=1, max_size=4), st.data())
+def test_licenses_against_brute_force(parts, data):
+    """Notices side by side, with letters and blanks inserted, deleted and replaced."""
+    text = " ".join(parts)
+    for _ in range(data.draw(st.integers(0, 6))):
+        at, what = data.draw(st.integers(0, len(text) - 1)), data.draw(st.sampled_from(["", "q", "e", " ", "xl"]))
+        text = text[:at] + what + text[at + data.draw(st.integers(0, 1)) :]
+        text = text or "x"
+    joined = f" {' '.join(text.split())} "
+    assert SCANNER.matches(joined) == notices_by_hand(joined, notices.NOTICES)
+
+
+@pytest.mark.parametrize("text, spans", [("apache licens apache license", [(0, 1, 1), (2, 3, 0)]), ("mit licnse mit license", [(0, 1, 1), (2, 3, 0)]), ("mit license mit licence x mit licnse", [(0, 1, 0), (2, 3, 1), (5, 6, 1)])])
+def test_neighbouring_notices_keep_their_spans(text, spans):
+    assert [(m["first_word"], m["last_word"], m["edits"]) for m in SCANNER.scan(text.encode())["matches"]] == spans
+
+
 def test_bpe_against_tiktoken(spark):
     rows = awkward_documents() + [(50, "x" * 3000 + "ab" * 500 + "☃" * 300 + " \n\n  \t"), (51, "<|endoftext|>")]
     found = bpe.token_digests(bpe.encode_documents(documents(spark, rows), queries.RANKS, public_tokenizers.PATTERN))
@@ -182,23 +235,25 @@ def attributed_by_hand(text, rule):
     for line in text.split("\n"):
         spans.append((at, at + len(line) + 1))
         at += len(line) + 1
-    counts, byte = Counter(), 0
+    counts, crossing, byte = Counter(), Counter(), 0
     for i in CODER.encode_ordinary(text):
         size = len(CODER.decode_single_token_bytes(i))
         points = sorted({p for p in range(len(text)) if len(text[:p].encode()) < byte + size and len(text[: p + 1].encode()) > byte})
         held = Counter(next(s for s, (a, b) in enumerate(spans) if a <= p < b) for p in points)
         best = {"first": min(held), "last": max(held), "most": min(held, key=lambda s: (-held[s], s))}[rule]
         counts[best] += 1
+        crossing[best] += len(held) > 1
         byte += size
-    return Counter({s: counts[s] for s in range(len(spans))})
+    return [(s, counts[s], crossing[s]) for s in range(len(spans))]
 
 
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_token_attribution_against_brute_force(spark, rule):
-    rows = [(1, None), (2, ""), (3, "\n\n\n"), (4, "a ☃𝄞\n\n b\n  c\t\nñandú é"), (5, prose(1, 30) + "\n" + prose(2, 3)), (5, "again"), (None, "x\ny")]
+    rows = [(1, None), (2, ""), (3, "\n\n\n"), (4, "a ☃𝄞\n\n b\n  c\t\nñandú é"), (5, prose(1, 30) + "\n" + prose(2, 3)), (5, "again"), (6, "x;\n\n\n  y = {\n\n}\n"), (None, "x\ny")]
     found = attribution.count_tokens(attribution.line_sections(documents(spark, rows)), queries.RANKS, public_tokenizers.PATTERN, rule)
-    expected = Counter((i, s, n) for i, t in rows for s, n in attributed_by_hand(t or "", rule).items())
-    assert got(found, "doc_id", "section", "n_tokens") == expected
+    expected = Counter((i, *x) for i, t in rows for x in attributed_by_hand(t or "", rule))
+    assert sum(n for *_, n in expected) > 0
+    assert got(found, "doc_id", "section", "n_tokens", "n_crossing") == expected
 
 
 def test_token_attribution_outside_sections(spark):
@@ -207,3 +262,16 @@ def test_token_attribution_outside_sections(spark):
     assert got(found, "section", "n_tokens") == Counter({(0, 1): 1, (1, 1): 1, (-1, 2): 1})
     with pytest.raises(ValueError):
         attribution.count_tokens(made, queries.RANKS, public_tokenizers.PATTERN, "none")
+    bare = made.withColumn("sections", F.lit(None).cast(made.schema["sections"].dataType))
+    assert got(attribution.count_tokens(bare, queries.RANKS, public_tokenizers.PATTERN), "section", "n_tokens") == Counter({(-1, 4): 1})
+    for wrong in ([(0, 5), (3, 8)], [(6, 8), (0, 5)], [(4, 2)], [(None, 5)], [None]):
+        with pytest.raises(ValueError):
+            attribution.check([None if s is None else dict(zip(("begin", "end"), s)) for s in wrong])
+
+
+def test_token_attribution_is_linear_in_lines(spark):
+    text = "a line\n" * 200_000
+    begin = time.monotonic()
+    found = attribution.count_tokens(attribution.line_sections(documents(spark, [(1, text)])), queries.RANKS, public_tokenizers.PATTERN)
+    total = found.agg(F.count("section").alias("lines"), F.sum("n_tokens").alias("tokens")).first()
+    assert (total.lines, total.tokens) == (200_001, len(CODER.encode_ordinary(text))) and time.monotonic() - begin < 60
