@@ -49,7 +49,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.page_digest(warc.archive_pages(read(spark, sf_dir, "pages")))
+    return warc.page_digest(warc.archive_pages(read(spark, sf_dir, "pages"), every_row=True))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

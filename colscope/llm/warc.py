@@ -20,14 +20,18 @@ CRLF = "\r\n"
 LEAST_REVISIT = 100
 # All captures carry one date: the tables have none.
 DATE = "2024-01-01T00:00:00Z"
-# Records of an archive file; bytes that are unpacked at a time.
-FILE_RECORDS = 6000
+# Payload bytes of the pages that share an archive file, pages up to a size at a time: (largest payload, pages of
+# a file). A larger payload has a file of its own. Bytes that are unpacked at a time.
+FILE_PAGES = ((16 << 10, 2000), (1 << 20, 32))
 CHUNK = 1 << 20
+# Repeats of one row that a task writes.
+REPEATS = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(kind: str, page: Column, url: Column, digest: Column) -> Column:
-    x = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("null")), url, digest))
+def record_id(kind: str, page: Column, url: Column, digest: Column, number: Column) -> Column:
+    """An identifier made from what a row holds and its number among the rows that are equal to it."""
+    x = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("null")), url, digest, number.cast("string")))
     cut = [F.substring(x, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -39,26 +43,50 @@ def record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *lines), F.lit(CRLF * 2), block)
 
 
-def first_captures(pages: DataFrame) -> DataFrame:
+def stored_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html) without nulls in url and html."""
+    # a line break in a URL would end the header
+    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
+    return pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """(page_id, url, digest, bytes, copies) of the different rows of ``pages``."""
+    narrow = pages.select("page_id", "url", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    return narrow.groupBy("page_id", "url", "digest", "bytes").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def first_captures(facts: DataFrame) -> DataFrame:
     """(digest, first_id, first_page, first_url) of payloads that several pages have and that are long enough."""
-    narrow = pages.select("page_id", "url", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first")
-    shared = narrow.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.count(F.lit(1)).alias("pages"), first).where("pages > 1")
+    shared = facts.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.count(F.lit(1)).alias("pages"), first).where("pages > 1")
     return shared.select(F.col("digest").alias("first_digest"), F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url"))
 
 
-def archive_records(pages: DataFrame, frames: Frames) -> DataFrame:
-    """(value) one row per record: a response or revisit, a request and a metadata record for each page."""
-    # a line break in a URL would end the header
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
-    pages = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    shared = frames.keep(first_captures(pages))
-    x = pages.withColumn("digest", F.sha2("html", 256))
-    x = x.join(shared, F.col("digest") == F.col("first_digest"), "left")
+def numbered(pages: DataFrame, facts: DataFrame, every_row: bool) -> DataFrame:
+    """``pages`` with ``digest`` and ``number``: 1, 2, ... for the rows that are equal, or 1 and each of them once.
+
+    Rows that repeat are taken once and written out by their number, in parts of ``REPEATS``.
+    """
+    row = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "url", "digest"))
+    pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("row", row)
+    repeated = facts.where("copies > 1").select(row.alias("row"), "copies")
+    single = pages.join(repeated, "row", "left_anti").withColumn("number", F.lit(1).cast("long"))
+    once = pages.join(repeated, "row", "left_semi").groupBy("row").agg(*(F.first(k).alias(k) for k in ("page_id", "url", "html", "digest")))
+    last = F.col("copies") if every_row else F.lit(1).cast("long")
+    parts = repeated.select("row", last.alias("last"), F.explode(F.sequence(F.lit(1).cast("long"), last, F.lit(REPEATS).cast("long"))).alias("begin"))
+    many = parts.join(once, "row").withColumn("number", F.explode(F.sequence("begin", F.least("last", F.col("begin") + REPEATS - 1))))
+    columns = ("page_id", "url", "html", "digest", "number")
+    return single.select(*columns).union(many.select(*columns))
+
+
+def archive_records(pages: DataFrame, shared: DataFrame) -> DataFrame:
+    """(value) one row per record: a response or revisit, a request and a metadata record for each numbered page."""
+    x = pages.join(shared, F.col("digest") == F.col("first_digest"), "left")
     c = F.col
-    again = c("first_digest").isNotNull() & ~(c("page_id").eqNullSafe(c("first_page")) & c("url").eqNullSafe(c("first_url")))
-    own = record_id("response", c("page_id"), c("url"), c("digest"))
-    origin = F.when(again, record_id("response", c("first_page"), c("first_url"), c("digest")))
+    again = c("first_digest").isNotNull() & ~c("page_id").eqNullSafe(c("first_page"))
+    own = record_id("response", c("page_id"), c("url"), c("digest"), c("number"))
+    origin = F.when(again, record_id("response", c("first_page"), c("first_url"), c("digest"), F.lit(1)))
     target = ("WARC-Target-URI", F.when(c("url") == "", F.lit("urn:no-url")).otherwise(c("url")))
     date = ("WARC-Date", F.lit(DATE))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
@@ -79,25 +107,37 @@ def archive_records(pages: DataFrame, frames: Frames) -> DataFrame:
     path = F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|#.*$", "")
     path = F.when(F.substring(path, 1, 1) == "/", path).otherwise(F.concat(F.lit("/"), path))
     request = record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", c("page_id"), c("url"), c("digest"))), date, target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", c("page_id"), c("url"), c("digest"), c("number"))), date, target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2)),
     )
     page = F.when(c("page_id").isNotNull(), F.concat(F.lit("page-id: "), c("page_id").cast("string"), F.lit(CRLF)))
     metadata = record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", c("page_id"), c("url"), c("digest"))), date, target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", c("page_id"), c("url"), c("digest"), c("number"))), date, target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.coalesce(page, F.lit("")), F.lit("payload-bytes: "), F.octet_length("html").cast("string"), F.lit(CRLF)),
     )
     return x.select(F.explode(F.array(capture, request, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, frames: Frames) -> None:
-    """Compressed archives at ``path``, in the shared store, through Spark's own writer.
+def write_archives(pages: DataFrame, path: str, frames: Frames, every_row: bool = False) -> None:
+    """Compressed archives under ``path``, in the shared store, through Spark's own writer.
 
     Every record ends with the two line breaks that the format asks for, so that a file's records
-    in a row are an archive. Files are bounded in records.
+    in a row are an archive. Pages of like size are written together, so that files are bounded in
+    bytes: a reader takes up a file at a time. A page's three records may lie in different files.
     """
-    writer = archive_records(pages, frames).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
-    writer.text(path)
+    pages = stored_pages(pages)
+    facts = frames.keep(page_facts(pages))
+    shared = frames.keep(first_captures(facts))
+    above = -1
+    for most, number in (*FILE_PAGES, (None, 1)):
+        held = (F.col("bytes") > above) if most is None else (F.col("bytes") > above) & (F.col("bytes") <= most)
+        mine = facts.where(held)
+        # an empty table still has its folder
+        if above == -1 or mine.limit(1).count():
+            some = numbered(pages.withColumn("bytes", F.octet_length("html")).where(held), mine, every_row)
+            writer = archive_records(some, shared).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * number)
+            writer.text(f"{path}/{'larger' if most is None else f'to-{most}'}")
+        above = most
 
 
 def unpacked(content: bytes) -> Iterator[bytes]:
@@ -202,23 +242,23 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def read_archives(spark, path: str) -> DataFrame:
     """Captures of all archive files under ``path``."""
-    return assemble(read_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)))
+    return assemble(read_records(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path)))
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
+def archive_pages(pages: DataFrame, every_row: bool = False) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) into archives and gives the captures read back from them.
 
-    Of pages with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the smallest
-    page_id is stored as response, the others as revisits of it.
+    Of pages with equal payloads of at least ``LEAST_REVISIT`` bytes those with the smallest page_id
+    are stored as response, the others as revisits of the first of these.
 
     Null html is an empty payload, null urls are stored as ``urn:no-url``, a null page_id is left out
     of the metadata and is never the smallest. Rows that are equal in all three columns are one
-    capture. An empty table gives no captures; other columns are not looked at.
+    capture, or with ``every_row`` a capture each. An empty table gives no captures; other columns are not looked at.
     """
     spark = pages.sparkSession
     frames = Frames(spark)
     path = shared_path(spark, "warc")
-    write_archives(pages.select("page_id", "url", "html"), path, frames)
+    write_archives(pages.select("page_id", "url", "html"), path, frames, every_row)
     frames.release()
     return read_archives(spark, path)
 

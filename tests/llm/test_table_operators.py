@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from llm_cases import awkward_documents, components_of, documents, prose
@@ -247,6 +248,24 @@ def test_warc_against_brute_force(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_every_row(spark, monkeypatch, tmp_path):
+    """The contract's rows, in SQL, on a table of rows that repeat in one, two or three columns."""
+    monkeypatch.setattr(warc, "REPEATS", 4)
+    monkeypatch.setattr(warc, "FILE_PAGES", ((120, 5), (400, 2)))
+    rows = [(1, "a", "x" * 100)] * 3 + [(1, "b", "x" * 100), (2, "c", "x" * 100), (2, "c", "x" * 100), (3, "d", "short"), (3, "d", "short"), (3, "e", "short"), (4, None, None), (4, "", ""), (1, "a", "y" * 300)]
+    rows += [(9, "hot", prose(3, 40))] * 15 + [(8, "hot", prose(3, 40)), (7, "long", prose(4, 5000))]
+    made = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    captures = warc.archive_pages(made, every_row=True)
+    path = str(tmp_path / "pages.parquet")
+    pandas = made.toPandas()
+    pandas.to_parquet(path)
+    expected = duckdb.sql(queries.ORACLE["op9_warc"].replace("from pages", f"from '{path}'")).fetchall()
+    assert Counter(tuple(r) for r in warc.page_digest(captures).collect()) == Counter(expected)
+    assert captures.where("response is null or request is null or metadata is null").count() == 0
+    named = {r.refers_to for r in captures.where("response.kind = 'revisit'").select("response.refers_to").collect()}
+    assert named <= {r.id for r in captures.where("response.kind = 'response'").select("response.id").collect()}
+
+
 def test_warc_reads_members_and_plain_files():
     record = lambda n: b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % n + b"z" * n + b"\r\n\r\n"
     plain = record(0) + record(5) + record(3_000_000)
