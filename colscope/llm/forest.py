@@ -27,6 +27,10 @@ MOST_SPLITS = 48
 CELL = 1024
 MOST_BITS = 30
 CENTRE_BYTES = 8 << 20
+# Points of a node that are looked at to tell whether it is dense, and the least share of them that one
+# of them has to link to.
+NODE_SAMPLE = 32
+DENSE_SHARE = 0.5
 SEED = 11
 
 
@@ -167,12 +171,44 @@ def dense_groups(points: DataFrame, leaf: int, least: float, frames: Frames) ->
     return frames.keep(places.join(sizes, "code").select("point", "code", "members", "core"))
 
 
-def leaves(points: DataFrame, leaf: int, spill: float, frames: Frames) -> DataFrame:
+def dense_nodes(state: DataFrame, large: DataFrame, vectors: DataFrame, least: float, depth: int, frames: Frames) -> DataFrame | None:
+    """(code) of the nodes in ``large`` most of whose points link to one of them, judged by a sample of each.
+
+    Base projections, which the nodes hold, leave few to be judged by whole vectors.
+    """
+    sample = state.join(large, ["label", "size", "tree", "node"]).where(F.pmod(F.xxhash64("vec_id", F.lit(depth)), F.col("members")) < NODE_SAMPLE)
+    sample = frames.keep(sample.select("code", "vec_id", "at"))
+
+    def judge(near, column: str):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            linked = near(np.stack(part[column].to_list()).astype(np.float64))
+            return part[["code"]].iloc[: int(linked.sum(axis=1).max() >= DENSE_SHARE * len(part) > 1)]
+
+        return run
+
+    def maybe(x: np.ndarray) -> np.ndarray:
+        # a projection's squared difference is that of the vectors on average; twice of it in twelve is rare
+        apart = ((x[:, None, :] - x[None, :, :]) ** 2).mean(axis=2)
+        return apart <= 2 * 2 * (1 - least)
+
+    def surely(x: np.ndarray) -> np.ndarray:
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return x @ x.T >= least
+
+    likely = frames.keep(sample.groupBy("code").applyInPandas(judge(maybe, "at"), "code long"))
+    if likely.limit(1).count() == 0:
+        return None
+    held = sample.join(likely, "code", "left_semi").select("code", "vec_id").join(vectors, "vec_id")
+    return frames.keep(held.groupBy("code").applyInPandas(judge(surely, "vector"), "code long"))
+
+
+def leaves(points: DataFrame, leaf: int, spill: float, frames: Frames, vectors: DataFrame | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, label, size, tree, node, members): every leaf that each point falls into.
 
     All nodes of a depth split together: their quantiles are merged from the tasks' sketches, and
     points near the median go to both sides. Nodes that are leaves step aside; a node without a gap
-    between its cuts cannot be split and is a leaf of any size.
+    between its cuts cannot be split and is a leaf of any size, and so is, where ``vectors``
+    (vec_id, vector) are given, a node most of whose points link to one of them.
     """
     slices = F.array(*(F.struct(F.lit(t).alias("tree"), F.slice("at", t * DIRECTIONS + 1, DIRECTIONS).alias("at")) for t in range(TREES)))
     key = ["label", "size", "tree", "node"]
@@ -182,15 +218,20 @@ def leaves(points: DataFrame, leaf: int, spill: float, frames: Frames) -> DataFr
         state = frames.keep(state)
         value = F.coalesce(*(F.when(F.col("tree") == t, split_value(t, depth)) for t in range(TREES)))
         cuts = state.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.percentile_approx(value, [0.5 - spill, 0.5 + spill], 2000).alias("cut"))
-        placed = state.join(cuts, key)
         # without a gap between the cuts the upper side would get every point
-        whole = F.col("cut")[0] >= F.col("cut")[1]
-        small = (F.col("members") <= leaf) | whole | F.lit(depth == MOST_SPLITS)
-        done.append(frames.keep(placed.where(small).select("vec_id", *key, "members")))
-        large = placed.where(~small).withColumn("value", value)
+        small = (F.col("members") <= leaf) | (F.col("cut")[0] >= F.col("cut")[1]) | F.lit(depth == MOST_SPLITS)
+        cuts = frames.keep(cuts.select("*", F.xxhash64(*key).alias("code"), small.alias("small")))
+        large = cuts.where(~F.col("small"))
+        dense = None if vectors is None or large.limit(1).count() == 0 else dense_nodes(state, large.select(*key, "members", "code"), vectors, least, depth, frames)
+        if dense is not None:
+            marked = cuts.join(dense.withColumn("dense", F.lit(True)), "code", "left")
+            cuts = frames.keep(marked.withColumn("small", F.col("small") | F.coalesce("dense", F.lit(False))).drop("dense"))
+        placed = state.join(cuts.drop("code"), key)
+        done.append(frames.keep(placed.where("small").select("vec_id", *key, "members")))
+        large = placed.where(~F.col("small")).withColumn("value", value)
         sides = F.concat(F.when(F.col("value") <= F.col("cut")[1], F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(F.col("value") >= F.col("cut")[0], F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
         state = large.select("vec_id", "label", "size", "tree", F.col("node"), "at", F.explode(sides).alias("side")).withColumn("node", (F.col("node") * 2 + F.col("side")).cast("decimal(38,0)")).drop("side")
-        if depth == MOST_SPLITS or cuts.where((F.col("members") > leaf) & ~whole).limit(1).count() == 0:
+        if cuts.where(~F.col("small")).limit(1).count() == 0:
             break
     out = done[0]
     for more in done[1:]:
@@ -259,8 +300,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, leaf: int =
 
     Vectors link when their labels are equal and their cosine, in double precision, is at least
     ``least``. Points in the midst of a dense group are compared with all that can link to them and
-    miss nothing. Links of the others are looked for within the leaves of all trees; a pair that no
-    leaf holds together is missed, a wrong one is never reported. Equal directions are compared
+    miss nothing. Links of the others are looked for within the leaves of all trees, of which nodes that
+    are mostly one group are never split; a pair that no leaf holds together is missed, a wrong one is
+    never reported. Equal directions are compared
     once. Dense groups and leaves that cannot be split are compared block by block in tasks of
     bounded size.
 
@@ -289,7 +331,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, leaf: int =
     sparse = points.select(F.col("point").alias("vec_id"), "label", "size", "at")
     if dense is not None:
         sparse = sparse.join(dense.where("core").select(F.col("point").alias("vec_id")).distinct(), "vec_id", "left_anti")
-    fallen = leaves(sparse, leaf, spill, frames)
+    fallen = leaves(sparse, leaf, spill, frames, points.select(F.col("point").alias("vec_id"), "vector"), least)
     code = F.xxhash64("label", "size", "tree", "node")
     fallen = fallen.select(F.col("vec_id").alias("point"), code.alias("code"), "members")
     if dense is not None:

@@ -135,6 +135,25 @@ def test_forest_keeps_dense_groups_whole(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (degree[i], c) for i, c in at.items()}
 
 
+@pytest.mark.parametrize("codes", [12, 30])
+def test_forest_finds_groups_thin_in_every_cell(spark, codes):
+    """The group's centre is at a right angle to the projections whose signs make the cells."""
+    pick = np.random.default_rng(10)
+    used = np.concatenate([forest.directions(t, 64) for t in range(3)])[:codes]
+    center = pick.standard_normal(64)
+    center -= used.T @ np.linalg.lstsq(used.T, center, rcond=None)[0]
+    center *= 8 / np.linalg.norm(center)
+    rows = [(i, pick.standard_normal(64).tolist(), 0) for i in range(10_000)]
+    rows += [(50_000 + i, (center + 0.22 * pick.standard_normal(64)).tolist(), 0) for i in range(1500)]
+    found = forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = near_by_hand(rows)
+    degree, at = Counter(x for pair in links for x in pair), components_of({r[0] for r in rows}, links)
+    assert {r.vec_id: r.component_id for r in found} == at and all(r.n_links <= degree[r.vec_id] for r in found)
+    recall = sum(r.n_links for r in found) / (2 * len(links))
+    print("recall", recall)
+    assert recall >= 0.99
+
+
 def test_forest_does_not_deal_out_ties(spark):
     base = np.random.default_rng(4).standard_normal(64)
     made = spark.createDataFrame([(i, (base * (1 + i / 7)).tolist(), 1) for i in range(700)], "vec_id long, embedding array<double>, label int")
