@@ -136,16 +136,17 @@ class Scanner:
 
     def match_at(self, joined: str, k: int, start: int) -> tuple[int, int, int, int] | None:
         """The match of a notice that begins here: with the fewest errors, of those the shortest."""
-        if not self.fuzzy[k].match(joined, start):
-            return None
-        size = len(self.notices[k][0])
-        for errors, pattern in enumerate(self.exactly[k]):
-            end = joined.find(" ", max(start + 1, start + size - errors), start + size + errors + 1)
-            while end >= 0:
-                if pattern.fullmatch(joined, start, end):
-                    return start, end, errors, k
-                end = joined.find(" ", end + 1, start + size + errors + 1)
-        return None
+        size, most = len(self.notices[k][0]), errors_of(self.notices[k][0])
+        best = None
+        end = joined.find(" ", max(start + 1, start + size - most), start + size + most + 1)
+        while end >= 0:
+            # the end is given, since a search for it can pass over matches that leave out last characters
+            if self.fuzzy[k].fullmatch(joined, start, end):
+                errors = next(e for e, pattern in enumerate(self.exactly[k]) if pattern.fullmatch(joined, start, end))
+                if best is None or errors < best[2]:
+                    best = (start, end, errors, k)
+            end = joined.find(" ", end + 1, start + size + most + 1)
+        return best
 
     def best(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Without the matches that overlap one of another label with fewer errors."""
