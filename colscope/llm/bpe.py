@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import codecs
 import gc
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -12,14 +13,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, utf8
+from .common import in_batches, utf8, worker_tables
 
-# Bounds of what a task keeps: transitions, encoded pieces and pairs of tokens. Beyond them the
+# Bounds of what a worker keeps: transitions, encoded pieces and pairs of tokens. Beyond them the
 # tables start afresh, which costs time and changes nothing.
 MAX_TRANSITIONS = 400_000
 MAX_PIECES = 300_000
 MAX_PAIRS = 240_000
 KEPT_PIECE = 64
+# The name under which a worker keeps its coder from task to task.
+TABLES = "byte_bpe"
+
+# Places of the fields of a hypothesis.
+FIELD_BITS = 22
+FIELD = (1 << FIELD_BITS) - 1
+PENDING, LAST = FIELD_BITS, 2 * FIELD_BITS
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,20 +71,29 @@ class Transducer:
                     self.token_at.append(-1)
                 node = self.children[node][byte]
             self.token_at[node] = rank
+        if len(self.children) > FIELD:
+            raise ValueError("too many tokens for the fields of a hypothesis")
         self.agreed: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.hypotheses: dict[tuple, tuple] = {}
-        self.states: dict[tuple, int] = {((-1, 0, ()),): 0}
-        self.sets = [((-1, 0, ()),)]
+        # a hypothesis is one number: last token + 1, pending tokens (a place in outputs), trie node
+        self.sets: list[tuple[int, ...]] = [(0,)]
+        self.states: dict[tuple[int, ...], int] = {(0,): 0}
         # state and byte to the next state and, in the lower bits, what is emitted: one number each
         self.moves: dict[int, int] = {}
         self.outputs: list[tuple[int, ...]] = [()]
         self.output_of: dict[tuple[int, ...], int] = {(): 0}
         self.ends: dict[int, tuple[int, ...]] = {}
 
+    def output(self, tokens: tuple[int, ...]) -> int:
+        """The place of the tokens in ``outputs``."""
+        place = self.output_of.setdefault(tokens, len(self.outputs))
+        if place == len(self.outputs):
+            self.outputs.append(tokens)
+        return place
+
     def spine(self, token: int) -> tuple[list, list] | None:
         """The parts that stand at the left and at the right edge of a token while it is put together.
 
@@ -124,57 +141,59 @@ class Transducer:
 
     def move(self, state: int, byte: int) -> int:
         """The state after one more byte, and the number of the tokens that are certain by then."""
-        live = []
-        children, token_at, agreed = self.children, self.token_at, self.agreed.get
-        for last, node, pending in self.sets[state]:
+        live, closed = [], None
+        children, token_at, agreed, outputs = self.children, self.token_at, self.agreed.get, self.outputs
+        for hypothesis in self.sets[state]:
+            node = hypothesis & FIELD
             child = children[node].get(byte)
             if child is None:
                 continue
             if children[child]:
-                live.append((last, child, pending))
-            token = token_at[child]
-            if token >= 0:
-                agrees = agreed((last + 1) << 32 | token)
-                if self.agrees(last, token) if agrees is None else agrees:
-                    live.append((token, 0, (*pending, token)))
-        first = live[0][2]
+                live.append(hypothesis - node + child)
+            # a run of bytes has one encoding, so at most one hypothesis closes here
+            if closed is None and (token := token_at[child]) >= 0:
+                last = hypothesis >> LAST
+                agrees = agreed(last << 32 | token)
+                if self.agrees(last - 1, token) if agrees is None else agrees:
+                    pending = self.output((*outputs[hypothesis >> PENDING & FIELD], token))
+                    closed = (token + 1) << LAST | pending << PENDING
+        # the oldest start, which has the deepest node, comes first: equal sets have one order
+        if closed is not None:
+            live.append(closed)
+        pending = [outputs[x >> PENDING & FIELD] for x in live]
+        first = min(pending, key=len)
         shared = len(first)
-        for _, _, other in live:
-            while other[:shared] != first[:shared]:
+        for other in pending:
+            while shared and other[:shared] != first[:shared]:
                 shared -= 1
         if shared:
-            live = [(last, node, pending[shared:]) for last, node, pending in live]
-        live.sort()
-        one = self.hypotheses.setdefault
-        after = tuple(one(x, x) for x in live)
+            live = [x >> LAST << LAST | self.output(p[shared:]) << PENDING | x & FIELD for x, p in zip(live, pending)]
+        after = tuple(live)
         number = self.states.get(after)
         if number is None:
             number = self.states[after] = len(self.sets)
             self.sets.append(after)
-        output = self.output_of.setdefault(first[:shared], len(self.outputs))
-        if output == len(self.outputs):
-            self.outputs.append(first[:shared])
-        made = self.moves[state << 8 | byte] = number << 24 | output
+        made = self.moves[state << 8 | byte] = number << FIELD_BITS | self.output(first[:shared])
         return made
 
     def end(self, state: int) -> tuple[int, ...]:
         """The tokens still pending when the piece ends: of the hypothesis that stands between tokens."""
         known = self.ends.get(state)
         if known is None:
-            known = self.ends[state] = next(pending for _, node, pending in self.sets[state] if node == 0)
+            known = self.ends[state] = next(self.outputs[x >> PENDING & FIELD] for x in self.sets[state] if x & FIELD == 0)
         return known
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) >= MAX_TRANSITIONS:
+        if len(self.moves) >= MAX_TRANSITIONS or len(self.outputs) > FIELD // 2:
             self.reset()
         state, out, known, outputs = 0, [], self.moves.get, self.outputs
         for byte in piece:
             step = known(state << 8 | byte) or self.move(state, byte)
-            state = step >> 24
-            if emitted := step & 0xFFFFFF:
+            state = step >> FIELD_BITS
+            if emitted := step & FIELD:
                 out += outputs[emitted]
         out += self.end(state)
         return out
@@ -196,13 +215,6 @@ class Encoder:
             self.known[piece] = ids
         return ids
 
-    def forget(self) -> None:
-        """Without the tables that grow with the texts."""
-        self.known.clear()
-        self.machine.reset()
-        self.machine.agreed.clear()
-        self.machine.edges.clear()
-
     def encode(self, text: str) -> list[int]:
         known, piece = self.known.get, self.piece
         return list(chain.from_iterable([known(p) or piece(p) for p in self.pieces(text)]))
@@ -232,23 +244,22 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str) -> Dat
     are kept as they are; no rows give no rows. Other columns are not looked at. No special tokens.
     """
     held = documents.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    key = (uuid.uuid4().hex, pattern)
 
     def step():
-        encoder, decoder = coders(held.value, pattern)
-        # the tables hold millions of tuples and no cycles; they end with the task
+        encoder, decoder = worker_tables(TABLES, key, lambda: coders(held.value, pattern))
+        # the tables hold millions of tuples and no cycles
         gc.disable()
 
-        def close():
-            encoder.forget()
-            gc.enable()
-
         def work(rows):
             ids = [encoder.encode(t.decode()) for t in rows["text"]]
             return {"doc_id": rows["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [decoder.decode(x) for x in ids]}
 
-        work.close = close
+        work.close = gc.enable
         return work
 
+    step.tables = TABLES
+
     return in_batches(documents.select("doc_id", utf8()), f"doc_id {kind(documents)}, n_tokens long, ids array<int>, decoded string", step, "text")
 
 

@@ -54,6 +54,26 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_tables: dict[str, tuple] = {}
+
+
+def worker_tables(name: str, key: tuple, make: Callable[[], object]) -> object:
+    """Tables that a Python worker keeps from task to task: those of ``key``, made where others are held.
+
+    They hold nothing that decides a result, so a lost worker costs the time to make them again.
+    """
+    if _tables.get(name, (None,))[0] != key:
+        _tables.pop(name, None)
+        _tables[name] = key, make()
+    return _tables[name][1]
+
+
+def drop_tables(step: Callable) -> None:
+    """Ends the tables that ``step`` doesn't name in its attribute ``tables``: a worker serves many stages."""
+    for name in _tables.keys() - {getattr(step, "tables", None)}:
+        del _tables[name]
+
+
 def in_batches(
     df: DataFrame, schema: str, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]], text: str | None = None
 ) -> DataFrame:
@@ -61,12 +81,14 @@ def in_batches(
 
     ``step()`` is called once per task and returns the function from columns to columns. Slices end
     where the column ``text`` (bytes, or a number of bytes) has gathered ``BATCH_BYTES``; a text is never cut.
-    A function with an attribute ``close`` has it called at the end of the task.
+    A function with an attribute ``close`` has it called at the end of the task. A step with an attribute
+    ``tables`` goes on with the ``worker_tables`` of that name.
     """
     fields = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(fields)
+        drop_tables(step)
         work = step()
         try:
             for batch in batches:
@@ -88,6 +110,7 @@ def with_python_column(df: DataFrame, name: str, kind: str, step: Callable[[], C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(fields)
+        drop_tables(step)
         work = step()
         for batch in batches:
             for part in slices(batch, "text"):

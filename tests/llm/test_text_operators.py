@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from llm_cases import awkward_documents, components_of, documents, prose
 from pyspark.sql import functions as F
 
-from colscope.llm import attribution, bpe, jaccard, lines, notices, queries
+from colscope.llm import attribution, bpe, common, jaccard, lines, notices, queries
 
 RANKS = bpe.load_ranks(queries.RANKS)
 CODER = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -229,6 +229,19 @@ def test_bpe_tables_start_afresh(monkeypatch):
     assert encoder.encode(text) == CODER.encode_ordinary(text) and len(encoder.known) <= 20
 
 
+def test_worker_tables_last_until_another_step():
+    made = []
+    one = lambda: made.append(1) or len(made)
+    keeps, other = (lambda: None), (lambda: None)
+    keeps.tables = "own"
+    assert [common.worker_tables("own", key, one) for key in (("a",), ("a",), ("b",))] == [1, 1, 2]
+    common.drop_tables(keeps)
+    assert common.worker_tables("own", ("b",), one) == 2
+    common.drop_tables(other)
+    assert common.worker_tables("own", ("b",), one) == 3
+    common.drop_tables(other)
+
+
 def attributed_by_hand(text, rule):
     """Every token's characters one by one."""
     spans, at = [], 0
