@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ ODD_Z, ODD_HIGH_Z = 2.5, 3.0
 EXPLAINED = 4
 # Digits kept of a centroid, so the summation order cannot change a later round.
 CENTROID_DIGITS = 12
+ML_SEED = 42
 
 CLUSTER_SCHEMA = "rank int, cluster int, size bigint, pct double, mean_distance double, reading string"
 SUMMARY_SCHEMA = (
@@ -123,9 +126,14 @@ def cluster_rows(
     max_rounds: int = MAX_ROUNDS,
     max_features: int | None = None,
     top: int | None = None,
+    method: str = "positions",
 ) -> ClusterResult:
     """Clusters of the rows and the rows farthest from their cluster centre.
 
+    ``method`` says where the rounds begin: at rows of fixed ``positions``, or with ``ml`` at the
+    centres that Spark's own estimator finds from k-means|| seeds. Its draws follow the partitions of
+    the table, so centres may differ from run to run; with few different rows there may be fewer.
+
     ``top`` keeps so many of the odd rows, the farthest: each task keeps its own, and nothing is
     sorted across the table. The summary counts all of them either way.
 
@@ -133,6 +141,8 @@ def cluster_rows(
     columns) are carried through to identify rows. All odd rows are returned; ``converged`` in the
     summary says whether the rounds ended because no row moved any more.
     """
+    if method not in ("positions", "ml"):
+        raise ValueError(f"unknown method: {method}")
     spark = df.sparkSession
     keys = list(dict.fromkeys((keys or []) + order_by))
     picked = cluster_features(profile, names, max_features).orderBy("rank").collect()
@@ -148,9 +158,16 @@ def cluster_rows(
     if n < LEAST_ROWS or k < 2 or k >= n:
         return _not_applied(spark, df, keys)
 
-    seeds = _seeds(rows, order_by, n, k, len(features))
+    seeds = _seeds(rows, order_by, n, k, len(features)) if method == "positions" else _estimated(rows, zs, k, max_rounds)
     fit = _lloyd(rows, zs, seeds, max_rounds)
-    return _describe(rows, zs, keys, order_by, [f[0] for f in features], fit, n, k, top)
+    return _describe(rows, zs, keys, order_by, [f[0] for f in features], fit, n, len(seeds), top)
+
+
+def _estimated(rows, zs, k, max_rounds) -> list[list[float]]:
+    """Centres of the estimator: k-means|| seeds, an oversampled draw that is clustered by weight."""
+    points = VectorAssembler(inputCols=zs, outputCol="point").transform(rows.select(*zs)).select("point")
+    model = KMeans(k=k, featuresCol="point", initMode="k-means||", maxIter=max_rounds, seed=ML_SEED).fit(points)
+    return [[round(float(x), CENTROID_DIGITS) for x in centre] for centre in model.clusterCenters()]
 
 
 def _seeds(rows, order_by, n, k, d) -> list[list[float]]:

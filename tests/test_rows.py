@@ -51,6 +51,26 @@ def test_rows_at_positions_with_ties(spark):
     assert nulls["a"] == 0 and nulls["b"] is None
 
 
+def spread(result):
+    """The sum of squared distances of the rows to their centres."""
+    return result.assignments.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0]
+
+
+def test_clusters_from_estimated_centres(spark):
+    """Blobs in key order: all seeds by position but one lie in the large first blob, k-means|| finds the others."""
+    rng = np.random.default_rng(3)
+    sizes, centres = [1000, 30, 30, 30, 30], [(0, 0), (9, 9), (9, -9), (-9, 9), (-9, -9)]
+    x = np.concatenate([rng.normal(c, 0.3, (n, 2)) for c, n in zip(centres, sizes)]).round(1)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "a": x[:, 0], "b": x[:, 1]}))
+    profile = profile_columns(df)
+    plain = clustering.cluster_rows(df, profile, ["id"], ["a", "b"])
+    found = clustering.cluster_rows(df, profile, ["id"], ["a", "b"], method="ml")
+    assert found.applied and sum(found.sizes) == len(x) and len(found.centroids) <= len(plain.centroids)
+    assert found.summary.first()["converged"] and spread(found) <= spread(plain)
+    with pytest.raises(ValueError):
+        clustering.cluster_rows(df, profile, ["id"], ["a", "b"], method="other")
+
+
 def lloyd(x, k, rounds=35):
     n = len(x)
     seeds = x[[min(int((i + 0.5) * n / k), n - 1) for i in range(k)]]
