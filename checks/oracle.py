@@ -368,6 +368,8 @@ select event_id, {", ".join(
     f" + 0.0::double z_{n}" for n in GAPPED)}
 from src, m where {" + ".join(f"({n} is not null)::int" for n in GAPPED)} >= 2""",
     "kmeans_rounds_wide": f"{CLUSTERED} select i cluster, size, {r6(*ZS)} from c35",
+    # the spreads are compared by the query; the statement has the rows and the number of clusters
+    "kmeans_ml_wide": f'{CLUSTERED} select k::bigint k, n::bigint "rows", true "close" from sized',
     "cluster_stats_wide": f'{CLUSTERED} select "rank", cluster, size, {r6("pct", "mean_distance")}, reading from clusters',
     "odd_rows_wide": f'{CLUSTERED} select "rank", l_orderkey, cluster, {r6("distance", "z_score")}, severity from odd',
     "cluster_summary_wide": f"""{CLUSTERED} select '{"; ".join(sorted(CLUSTER_NAMES))}' features, k, s.n "rows", rounds, converged,

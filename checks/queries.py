@@ -432,6 +432,18 @@ def kmeans_rounds_wide(spark, sf):
     return rounded(local_rows(spark, rows, f"cluster int, size bigint, {zs}"))
 
 
+@query
+def kmeans_ml_wide(spark, sf):
+    """k-means|| seeds: rows, clusters, and whether their squared distances are at most 1 % above those from position seeds."""
+    df = wide(spark, sf)
+    p = profiles.profile_columns(df)
+    plain, found = (clustering.cluster_rows(df, p, ["l_orderkey"], method=m) for m in ("positions", "ml"))
+    spread = F.sum(F.col("distance") * F.col("distance"))
+    before, after = (r.assignments.agg(spread).first()[0] for r in (plain, found))
+    sizes = found.clusters.agg(F.count("*").alias("k"), F.sum("size").alias("rows"))
+    return sizes.withColumn("close", F.lit(after <= 1.01 * before))
+
+
 @query
 def cluster_stats_wide(spark, sf):
     return rounded(_clustered(spark, sf).clusters)
