@@ -49,11 +49,18 @@ def _numbers(df: DataFrame, order: str | list[str], columns: list[tuple[str, int
     return df.orderBy(*keys).select(*out)
 
 
-def csv_tables(result: Analysis, odd_rows: int | None = None) -> dict[str, DataFrame]:
-    """File name to formatted table, one per result; of the odd rows all, or so many of the farthest."""
+def csv_profile(profile: DataFrame) -> DataFrame:
+    """The profile as its file prints it; no other result takes part in it."""
     counts = ("distinct", "zeros", "negatives", "outliers_iqr", "outliers_z")
-    profile = result.profile.withColumns({n: whole_number(F.col(n)) for n in counts})
     stats = [(n, 6) for n in ("mean", "q1", "median", "q3", "min", "max", "std", "iqr", "skewness", "kurtosis")]
+    return _numbers(profile.withColumns({n: whole_number(F.col(n)) for n in counts}), "ordinal", [
+        ("column", None), ("physical_type", None), ("analytic_type", None), ("rows", None),
+        ("non_null", None), ("nulls", None), ("null_pct", 4), ("distinct", None), ("distinct_pct", 6),
+        *stats, *[(n, None) for n in counts[1:]], ("chart", None)])
+
+
+def csv_tables(result: Analysis, odd_rows: int | None = None) -> dict[str, DataFrame]:
+    """File name to formatted table, one per result; of the odd rows all, or so many of the farthest."""
     keys = [n for n in result.clusters.odd_rows.columns if n not in (
         "rank", "cluster", "distance", "z_score", "severity", "reason", "explanation")]
     simulated = [(n, 8) for n in (
@@ -63,10 +70,7 @@ def csv_tables(result: Analysis, odd_rows: int | None = None) -> dict[str, DataF
     odd = result.clusters.odd_rows
     odd = odd if odd_rows is None else odd.where(F.col("rank") <= odd_rows)
     return {
-        "profile": _numbers(profile, "ordinal", [
-            ("column", None), ("physical_type", None), ("analytic_type", None), ("rows", None),
-            ("non_null", None), ("nulls", None), ("null_pct", 4), ("distinct", None), ("distinct_pct", 6),
-            *stats, *[(n, None) for n in counts[1:]], ("chart", None)]),
+        "profile": csv_profile(result.profile),
         "strong_pairs": _numbers(result.pairs, "rank", [
             ("column_1", None), ("column_2", None), ("r", 8), ("abs_r", 8), ("strength", None)]),
         "column_groups": _numbers(groups, "group", [

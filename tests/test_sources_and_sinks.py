@@ -123,3 +123,18 @@ def test_scan_is_pruned(spark):
     df = colscope.read_table(spark, f"{SMALL}/lineitem.parquet").select("l_tax").where(F.col("l_tax") > 0.02)
     plan = df._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_tax:double>" in plan and "GreaterThan(l_tax,0.02)" in plan
+
+
+def test_the_profile_file_needs_no_other_result(spark, tmp_path, monkeypatch):
+    from checks import queries
+
+    df = spark.range(200).selectExpr("id as l_orderkey", "cast(id % 7 as int) as l_linenumber", "id * 0.25D as price", "if(id % 3 = 0, null, 'x') as flag")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = colscope.analyze(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), ["l_orderkey"], simulations=20, batch=20)
+    whole = colscope.csv_tables(found)["profile"].collect()
+
+    def refuse(*_, **__):
+        raise AssertionError("the whole analysis was run")
+
+    monkeypatch.setattr(queries.analyses, "analyze", refuse)
+    assert queries.QUERIES["csv_profile_lineitem"](spark, str(tmp_path)).collect() == whole
