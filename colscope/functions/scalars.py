@@ -44,7 +44,8 @@ def as_double(name: str) -> Column:
 
 
 def is_finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    # NaN is greater than infinity; short code, since columns times measures soon outgrow what the JVM compiles
+    return c.isNotNull() & (F.abs(c) < F.lit(float("inf")))
 
 
 def finite(c: Column) -> Column:
@@ -64,7 +65,8 @@ def share(part: Column, whole: Column) -> Column:
 
 def zscore(c: Column, mean: float, std: float, bound: float = 8.0) -> Column:
     """Bounded z-score; a missing or non-finite value counts as the mean (0)."""
-    return F.coalesce(clamp((finite(c) - F.lit(mean)) / F.lit(std), -bound, bound), F.lit(0.0))
+    score = (c - F.lit(mean)) / F.lit(std)
+    return F.when(is_finite(c), F.greatest(F.lit(-bound), F.least(F.lit(bound), score))).otherwise(0.0)
 
 
 def severity_rank(c: Column) -> Column:

@@ -1,10 +1,15 @@
 import hashlib
+import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks.compare import difference
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from colscope.operators import bootstrap, clustering, ordering
 from colscope.operators.distinct import exact_distinct
 from colscope.operators.profile import profile_columns
@@ -223,3 +228,42 @@ def test_sample_sorts_keys_only(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 20 and [r["k"] for r in got.orderBy("position").collect()] == [i * 25 // 10 for i in range(20)]
     assert "RepartitionByExpression" not in plan and "LeftSemi" in plan
+
+
+def repeated_orders(spark, folder, times=5):
+    """The smallest lineitem under new order keys: its amounts no longer look like identifiers, and five clusters get equal seeds."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    step = lines.agg(F.max("l_orderkey") + 1).first()[0]
+    copies = spark.range(times).select(F.col("id").alias("copy"))
+    copies.crossJoin(lines).withColumn("l_orderkey", F.col("l_orderkey") + F.col("copy") * step).drop("copy").write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
+    return con
+
+
+def test_clusters_of_repeated_orders_match_the_statements(spark, tmp_path):
+    con = repeated_orders(spark, tmp_path)
+    for name in ("standardize_wide", "cluster_bars_wide", "odd_rows_explained_wide"):
+        assert difference(name, spark, str(tmp_path), con, QUERIES, ORACLE) is None, name
+
+
+def test_simulation_of_repeated_orders_matches_the_statement(spark, tmp_path):
+    con = repeated_orders(spark, tmp_path)
+    assert difference("bootstrap_full_wide", spark, str(tmp_path), con, QUERIES, ORACLE) is None
+
+
+def test_cluster_sums_are_exact_in_any_partitioning(spark):
+    rng = np.random.default_rng(9)
+    x = np.clip(rng.normal(0, 3, (3000, 2)), -8, 8)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["z0", "z1"]))
+    centres = [[-1.0, 0.5], [2.0, 0.0], [-1.0, 0.5]]
+    label = np.array([[((p - c) ** 2).sum() for c in np.array(centres)] for p in x]).argmin(1)
+    some, other = (clustering.cluster_sums(df.repartition(n), ["z0", "z1"], centres) for n in (1, 7))
+    assert some == other and set(some) == {0, 1}
+    for i, (n, sums) in some.items():
+        assert n == (label == i).sum()
+        assert [float(s) for s in sums] == pytest.approx([math.fsum(x[label == i, j]) for j in (0, 1)], abs=3000 * 2.0**-60)
+    assert clustering.moved_rows(df, ["z0", "z1"], centres, centres) == 0
+    assert clustering.moved_rows(df, ["z0", "z1"], centres, centres[::-1]) == sum(
+        a != b for a, b in zip(label, np.array([[((p - c) ** 2).sum() for c in np.array(centres[::-1])] for p in x]).argmin(1))
+    )
