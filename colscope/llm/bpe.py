@@ -6,6 +6,7 @@ import base64
 import codecs
 import gc
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -18,9 +19,11 @@ from .common import in_batches, utf8, worker_tables
 # Bounds of what a worker keeps: transitions, encoded pieces and pairs of tokens. Beyond them the
 # tables start afresh, which costs time and changes nothing.
 MAX_TRANSITIONS = 400_000
-MAX_PIECES = 300_000
+MAX_PIECES = 150_000
 MAX_PAIRS = 240_000
 KEPT_PIECE = 64
+# Bytes of text that a worker turns into ids at a time: they are many times as large as Python lists.
+AT_ONCE = 1 << 20
 # The name under which a worker keeps its coder from task to task.
 TABLES = "byte_bpe"
 
@@ -60,27 +63,32 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        # the trie: node and byte to the next node, whether a node has one, and the token that ends there
+        self.children: dict[int, int] = {}
+        self.inner, self.token_at = bytearray(1), array("q", [-1])
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                if byte not in self.children[node]:
-                    self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                place = node << 8 | byte
+                if place not in self.children:
+                    self.children[place] = len(self.token_at)
+                    self.inner[node] = 1
+                    self.inner.append(0)
                     self.token_at.append(-1)
-                node = self.children[node][byte]
+                node = self.children[place]
             self.token_at[node] = rank
-        if len(self.children) > FIELD:
+        if len(self.token_at) > FIELD or max(ranks.values(), default=0) >= 1 << 64 - LAST - 1:
             raise ValueError("too many tokens for the fields of a hypothesis")
         self.agreed: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        # a hypothesis is one number: last token + 1, pending tokens (a place in outputs), trie node
-        self.sets: list[tuple[int, ...]] = [(0,)]
-        self.states: dict[tuple[int, ...], int] = {(0,): 0}
+        # a hypothesis is one number: last token + 1, pending tokens (a place in outputs), trie node;
+        # a state's numbers are kept as bytes, a third of the size of a tuple
+        start = array("Q", [0]).tobytes()
+        self.sets: list[bytes] = [start]
+        self.states: dict[bytes, int] = {start: 0}
         # state and byte to the next state and, in the lower bits, what is emitted: one number each
         self.moves: dict[int, int] = {}
         self.outputs: list[tuple[int, ...]] = [()]
@@ -131,24 +139,34 @@ class Transducer:
         elif first is None or second is None:
             known = merged(self.ranks, self.bytes_of[before] + self.bytes_of[token]) == [before, token]
         else:
-            known, rank = True, self.ranks.get
-            for x, born, gone in first[1]:
-                for y, born_too, gone_too in second[0]:
-                    if born < gone_too and born_too < gone and (join := rank(x + y)) is not None and max(join, born, born_too) < gone and max(join, born, born_too) <= gone_too:
-                        known = False
+            known = not self.meet(first[1], second[0])
         self.agreed[pair] = known
         return known
 
+    def meet(self, before: list, after: list) -> bool:
+        """Whether two parts that stand side by side at a time are joined before either goes.
+
+        Both edges hold one part at any time, so a walk along them meets all pairs that ever stand together.
+        """
+        rank, i, j = self.ranks.get, 0, 0
+        while True:
+            (x, born, gone), (y, born_too, gone_too) = before[i], after[j]
+            if (join := rank(x + y)) is not None and (now := max(join, born, born_too)) < gone and now <= gone_too:
+                return True
+            if i + 1 == len(before) and j + 1 == len(after):
+                return False
+            i, j = i + (gone <= gone_too), j + (gone_too <= gone)
+
     def move(self, state: int, byte: int) -> int:
         """The state after one more byte, and the number of the tokens that are certain by then."""
         live, closed = [], None
-        children, token_at, agreed, outputs = self.children, self.token_at, self.agreed.get, self.outputs
-        for hypothesis in self.sets[state]:
+        children, inner, token_at, agreed, outputs = self.children.get, self.inner, self.token_at, self.agreed.get, self.outputs
+        for hypothesis in array("Q", self.sets[state]):
             node = hypothesis & FIELD
-            child = children[node].get(byte)
+            child = children(node << 8 | byte)
             if child is None:
                 continue
-            if children[child]:
+            if inner[child]:
                 live.append(hypothesis - node + child)
             # a run of bytes has one encoding, so at most one hypothesis closes here
             if closed is None and (token := token_at[child]) >= 0:
@@ -163,12 +181,13 @@ class Transducer:
         pending = [outputs[x >> PENDING & FIELD] for x in live]
         first = min(pending, key=len)
         shared = len(first)
-        for other in pending:
-            while shared and other[:shared] != first[:shared]:
-                shared -= 1
+        if shared:
+            for other in pending:
+                while shared and other[:shared] != first[:shared]:
+                    shared -= 1
         if shared:
             live = [x >> LAST << LAST | self.output(p[shared:]) << PENDING | x & FIELD for x, p in zip(live, pending)]
-        after = tuple(live)
+        after = array("Q", live).tobytes()
         number = self.states.get(after)
         if number is None:
             number = self.states[after] = len(self.sets)
@@ -180,7 +199,7 @@ class Transducer:
         """The tokens still pending when the piece ends: of the hypothesis that stands between tokens."""
         known = self.ends.get(state)
         if known is None:
-            known = self.ends[state] = next(self.outputs[x >> PENDING & FIELD] for x in self.sets[state] if x & FIELD == 0)
+            known = self.ends[state] = next(self.outputs[x >> PENDING & FIELD] for x in array("Q", self.sets[state]) if x & FIELD == 0)
         return known
 
     def encode(self, piece: bytes) -> list[int]:
@@ -205,13 +224,15 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
+        # pieces met lately, and those met before them: what is met again moves up, the rest goes
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.machine.encode(piece.encode()))
+        ids = self.known.get(piece) or self.older.get(piece) or tuple(self.machine.encode(piece.encode()))
         if len(piece) <= KEPT_PIECE:
             if len(self.known) >= MAX_PIECES:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
 
@@ -260,7 +281,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str) -> Dat
 
     step.tables = TABLES
 
-    return in_batches(documents.select("doc_id", utf8()), f"doc_id {kind(documents)}, n_tokens long, ids array<int>, decoded string", step, "text")
+    return in_batches(documents.select("doc_id", utf8()), f"doc_id {kind(documents)}, n_tokens long, ids array<int>, decoded string", step, "text", AT_ONCE)
 
 
 def kind(documents: DataFrame) -> str:

@@ -72,15 +72,21 @@ def drop_tables(step: Callable) -> None:
     """Ends the tables that ``step`` doesn't name in its attribute ``tables``: a worker serves many stages."""
     for name in _tables.keys() - {getattr(step, "tables", None)}:
         del _tables[name]
+    # what an earlier stage's batches left behind
+    pa.default_memory_pool().release_unused()
 
 
 def in_batches(
-    df: DataFrame, schema: str, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]], text: str | None = None
+    df: DataFrame,
+    schema: str,
+    step: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
+    text: str | None = None,
+    at_once: int | None = None,
 ) -> DataFrame:
     """Rows of ``df`` through a Python step, a bounded slice of rows at a time.
 
     ``step()`` is called once per task and returns the function from columns to columns. Slices end
-    where the column ``text`` (bytes, or a number of bytes) has gathered ``BATCH_BYTES``; a text is never cut.
+    where the column ``text`` (bytes, or a number of bytes) has gathered ``at_once`` (``BATCH_BYTES``); a text is never cut.
     A function with an attribute ``close`` has it called at the end of the task. A step with an attribute
     ``tables`` goes on with the ``worker_tables`` of that name.
     """
@@ -92,7 +98,7 @@ def in_batches(
         work = step()
         try:
             for batch in batches:
-                for part in slices(batch, text):
+                for part in slices(batch, text, at_once):
                     made = work(dict(zip(part.schema.names, (c.to_pylist() for c in part.columns))))
                     columns = [pa.array(made[f.name], type=f.type) for f in out]
                     if columns and len(columns[0]):
@@ -121,7 +127,7 @@ def with_python_column(df: DataFrame, name: str, kind: str, step: Callable[[], C
     return df.mapInArrow(run, fields)
 
 
-def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | None, at_once: int | None = None) -> Iterator[pa.RecordBatch]:
     if text is None:
         yield batch
         return
@@ -129,7 +135,7 @@ def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
     column = batch.column(batch.schema.names.index(text))
     sizes = pa.compute.fill_null(column if pa.types.is_integer(column.type) else pa.compute.binary_length(column), 0).to_pylist()
     for i, n in enumerate(sizes):
-        if held and held + n > BATCH_BYTES:
+        if held and held + n > (at_once or BATCH_BYTES):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import local_rows
 from .common import in_batches, utf8
 
 # BM25's usual constants, and the share of an item's own score that a passage must reach.
@@ -297,8 +298,10 @@ def search(documents: DataFrame, index: list[Shard]) -> DataFrame:
     hits = in_batches(documents.select("doc_id", utf8()), schema, step, "text")
     # the ids of the pass's items, as bounded as its shards
     first_id = next((i for s in index for i in s.item_ids), 0)
-    names = documents.sparkSession.createDataFrame(
-        [(k, n, i) for k, s in enumerate(index) for n, i in enumerate(s.item_ids)], f"shard int, item_no int, item_id {'string' if isinstance(first_id, str) else 'long'}"
+    names = local_rows(
+        documents.sparkSession,
+        [(k, n, i) for k, s in enumerate(index) for n, i in enumerate(s.item_ids)],
+        f"shard int, item_no int, item_id {'string' if isinstance(first_id, str) else 'long'}",
     )
     return hits.join(F.broadcast(names), ["shard", "item_no"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import local_rows
 from .common import LOWER, UPPER
 
 # What is stripped at both ends of a line, its shortest key, and the fewest documents.
@@ -51,7 +52,7 @@ def hot_keys(documents: DataFrame, least_chars: int = LEAST_CHARS, least_documen
         .limit(HOT_KEYS)
         .collect()
     )
-    return spark.createDataFrame([(bytes(r["key"]),) for r in found], "key binary") if found else None
+    return local_rows(spark, [(bytes(r["key"]),) for r in found], "key binary") if found else None
 
 
 def dropped_lines(documents: DataFrame, least_chars: int = LEAST_CHARS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -77,7 +78,7 @@ def dropped_lines(documents: DataFrame, least_chars: int = LEAST_CHARS, least_do
             .agg((F.count("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("holders"), F.max("doc_id").alias("keeper"))
         )
         # at most HOT_KEYS rows of a hash, a count and an id
-        totals = documents.sparkSession.createDataFrame([tuple(r) for r in totals.collect()], totals.schema)
+        totals = local_rows(documents.sparkSession, [tuple(r) for r in totals.collect()], totals.schema)
         known = lines.join(F.broadcast(totals), "key", "left").where(
             F.col("holders").isNull() | ((F.col("holders") >= least_documents) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
         )

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -229,6 +231,39 @@ def test_bpe_tables_start_afresh(monkeypatch):
     assert encoder.encode(text) == CODER.encode_ordinary(text) and len(encoder.known) <= 20
 
 
+def test_bpe_pieces_met_again_outlast_the_others(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_PIECES", 20)
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    for i in range(200):
+        encoder.encode(f" again seldom{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{i // 100 * 'x'}")
+        assert " again" in encoder.known or " again" in encoder.older
+        assert len(encoder.known) <= 20 and len(encoder.older) <= 20
+
+
+def test_bpe_tables_take_little_of_a_worker():
+    tracemalloc.start()
+    try:
+        encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+        before = tracemalloc.get_traced_memory()[0]
+        rng = random.Random(5)
+        for _ in range(800):
+            encoder.encode(" " + "".join(rng.choice("etaoinshrdlu") for _ in range(8)))
+        held = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    # 24 MB and 729 bytes a transition before
+    assert before < 17e6 and held / len(encoder.machine.moves) < 690
+
+
+def test_line_totals_are_a_local_table(spark, monkeypatch):
+    # rows of Python objects would start a second Python daemon in every executor, with workers of its own
+    monkeypatch.setattr(lines, "SAMPLE_PART", 1)
+    monkeypatch.setattr(lines, "HOT_SAMPLED", 1)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a line that is long enough to be looked at in every document").alias("text"))
+    gone = lines.dropped_lines(docs)
+    assert "ExistingRDD" not in gone._jdf.queryExecution().toString() and gone.count() == 39
+
+
 def test_worker_tables_last_until_another_step():
     made = []
     one = lambda: made.append(1) or len(made)
