@@ -113,16 +113,16 @@ def summary_kpis(result: Analysis) -> DataFrame:
         ("chart_advice", result.advice),
         ("ml_scores", result.ml),
         ("clusters", result.clusters.clusters),
-        ("odd_rows", result.clusters.odd_rows),
+        ("odd_rows", result.clusters.summary),
         ("simulated_columns", result.simulation.summary),
     ]
     metrics = local_rows(
         spark, [("rows", result.rows), ("columns", result.columns)], "metric string, value bigint"
     )
     for name, frame in counted:
-        metrics = metrics.unionByName(
-            frame.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value")
-        )
+        # the summary has the number of odd rows, so they need not be ranked here
+        value = F.coalesce(F.max("odd_rows"), F.lit(0)) if name == "odd_rows" else F.count(F.lit(1))
+        metrics = metrics.unionByName(frame.agg(value.alias("value")).select(F.lit(name).alias("metric"), "value"))
     simulations = result.simulation.conclusion.agg(
         F.coalesce(F.max("simulations"), F.lit(0)).cast("bigint").alias("value")
     )

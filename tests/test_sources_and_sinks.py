@@ -138,3 +138,11 @@ def test_the_profile_file_needs_no_other_result(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(queries.analyses, "analyze", refuse)
     assert queries.QUERIES["csv_profile_lineitem"](spark, str(tmp_path)).collect() == whole
+
+
+def test_overview_does_not_rank_the_odd_rows(spark):
+    df = spark.range(400).selectExpr("id", "cast((id * 37) % 101 as double) a", "cast(id % 29 as double) b")
+    found = colscope.analyze(df, ["id"], simulations=5, batch=20)
+    kpis = {r["metric"]: r["value"] for r in colscope.summary_kpis(found).collect()}
+    assert "odd_rows" not in vars(found.clusters)
+    assert kpis["odd_rows"] == found.clusters.odd_rows.count() > 0
