@@ -23,7 +23,7 @@ from .distinct import approximate_distinct, exact_distinct
 from .measures import measure
 from .quantiles import SAMPLE, SMALL, sketch_quantiles, values_at_positions
 from .sums import exact_moments
-from .value_counts import ValueCounts, countable, value_counts
+from .value_counts import IN_ONE_TASK, ValueCounts, countable, value_counts
 
 NUMERIC_PER_SCAN = 8
 OTHERS_PER_SCAN = 32
@@ -189,7 +189,8 @@ def _rank(frame: DataFrame, numeric: dict, small: int, sample: int, values: Valu
             shifted[n] = [position]
             wanted.setdefault(n, []).append(position)
 
-    counted = {n: ps for n, ps in wanted.items() if values and n in values.ids}
+    # the counts of a column of very many values would have to be sorted; the search in its rows sorts nothing
+    counted = {n: ps for n, ps in wanted.items() if values and values.distinct.get(n, math.inf) <= IN_ONE_TASK}
     known = values.at_positions(counted) if counted else {}
     others = {n: ps for n, ps in wanted.items() if n not in counted}
     known |= values_at_positions(frame, others, counts, {n: x["distinct"] for n, x in numeric.items()}, small, sample)

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from colscope.operators import profile
 from colscope.operators.distinct import approximate_distinct, exact_distinct
 from colscope.operators.profile import profile_columns
 from colscope.operators.quantiles import exact_quantiles, values_at_ranks
@@ -111,3 +112,13 @@ def test_distinct_counts(spark):
 def test_schema_summary(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert [tuple(r) for r in schema_summary(df).collect()] == [(0, "a", "int", 0, 2), (1, "b", "string", 1, 2)]
+
+
+def test_columns_of_very_many_values_are_searched_not_sorted(spark, monkeypatch):
+    df = spark.range(4_000).selectExpr("id * 7 % 4001 as many", "cast(id % 30 as double) as few", "if(id % 9 = 0, null, sqrt(id)) as gaps")
+    plain = {r["column"]: r for r in profile.profile_columns(df).collect()}
+    asked, at_ranks = set(), profile.ValueCounts.at_ranks
+    monkeypatch.setattr(profile.ValueCounts, "at_ranks", lambda self, ranks, *a: asked.update(ranks) or at_ranks(self, ranks, *a))
+    monkeypatch.setattr(profile, "IN_ONE_TASK", 100)
+    searched = {r["column"]: r for r in profile.profile_columns(df, small=200, sample=500).collect()}
+    assert asked == {"few"} and searched == plain
